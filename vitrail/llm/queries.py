@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrail.llm import bpe, neighbours
+from vitrail.llm import bpe, neighbours, percentiles
 from vitrail.sources.tables import read_table
 
 REVISION = ["model_id", "model_version", "model_cache_revision", "alignment_revision"]
 
+PCTS = [10, 50, 90, 99]
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of rows of which one is among the other's 10 most similar, with a cosine of at least 0.90."""
@@ -18,11 +20,45 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return images.select(F.lit("images").alias("vec_table"), "*").unionByName(faces.select(F.lit("face_embeddings").alias("vec_table"), "*"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of width and height per root, exact."""
+    return percentiles.percentiles(read_table(spark, d, "images"), "root", ["width", "height"], PCTS, positive_only=True)
+
+
+def p2_combined(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per root from summaries of each scan and month, combined; off by at most a hundredth."""
+    images = read_table(spark, d, "images").where(F.col("root").isNotNull()).withColumn("period_ym", F.date_format("ingested_at", "yyyy-MM"))
+    parts = percentiles.summary(images, ["root", "last_seen_scan", "period_ym"], ["width", "height"])
+    return percentiles.from_summary(percentiles.combine(parts, ["root"]), ["root"], PCTS)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encode_corpus(read_table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_combined": p2_combined, "p6_ids": p6_ids}
+
+_VALUES = """
+WITH v AS (
+  SELECT root, 'width' AS field, width::BIGINT AS value FROM images WHERE root IS NOT NULL AND width > 0
+  UNION ALL SELECT root, 'height', height::BIGINT FROM images WHERE root IS NOT NULL AND height > 0),
+p AS (SELECT unnest([10, 50, 90, 99])::INTEGER AS pct),
+"""
 
-ORACLE = {}
+ORACLE = {
+    "p2_found": _VALUES
+    + """
+r AS (SELECT root, field, value, row_number() OVER (PARTITION BY root, field ORDER BY value) - 1 AS k,
+             count(*) OVER (PARTITION BY root, field) AS n FROM v)
+SELECT root, field, pct, value AS pct_value FROM r, p WHERE k = (2 * (n - 1) * pct + 100) // 200
+""",
+    "p2_combined": _VALUES
+    + """
+b AS (SELECT root, field, ceil(round(ln(value::DOUBLE) / ln(1.01::DOUBLE / 0.99::DOUBLE), 9))::INTEGER AS bucket FROM v),
+r AS (SELECT root, field, bucket, row_number() OVER (PARTITION BY root, field ORDER BY bucket) - 1 AS k,
+             count(*) OVER (PARTITION BY root, field) AS n FROM b)
+SELECT root, field, pct, round(2 * pow(1.01::DOUBLE / 0.99::DOUBLE, bucket) / (1.01::DOUBLE / 0.99::DOUBLE + 1), 6) AS pct_value
+FROM r, p WHERE k = (2 * (n - 1) * pct + 100) // 200
+""",
+}
