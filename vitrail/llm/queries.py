@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrail.llm import bpe, neighbours, percentiles
+from vitrail.llm import bpe, mixture, neighbours, percentiles
 from vitrail.sources.tables import read_table
 
 REVISION = ["model_id", "model_version", "model_cache_revision", "alignment_revision"]
@@ -32,12 +32,42 @@ def p2_combined(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.from_summary(percentiles.combine(parts, ["root"]), ["root"], PCTS)
 
 
+def _faces(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of face_embeddings whose face_id is in faces."""
+    return read_table(spark, d, "face_embeddings").join(read_table(spark, d, "faces").select("face_id").distinct(), "face_id", "left_semi")
+
+
+def _face_names(rows: DataFrame) -> DataFrame:
+    return rows.select("row_id", "face_id").distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of faces in one cluster of faces of a cosine of at least 0.70."""
+    rows = _faces(spark, d)
+    found, _ = mixture.clusters(rows, "row_id", "embedding", 128, 0.70, REVISION)
+    named = found.join(_face_names(rows), "row_id").select("cluster", "face_id").distinct()
+    other = named.select("cluster", F.col("face_id").alias("face_b"))
+    return named.withColumnRenamed("face_id", "face_a").join(other, "cluster").where(F.col("face_a") < F.col("face_b")).select("face_a", "face_b")
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical faces of every cluster."""
+    rows = _faces(spark, d)
+    found, model = mixture.clusters(rows, "row_id", "embedding", 128, 0.70, REVISION)
+    names = _face_names(rows).withColumnRenamed("face_id", "name")
+    if model is None:
+        density = found.select("row_id", F.lit(0.0).alias("density"))
+    else:
+        density = mixture.densities(rows, "row_id", "embedding", 128, model)
+    return mixture.describe(found, density, names)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encode_corpus(read_table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_combined": p2_combined, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_combined": p2_combined, "p3_found": p3_found, "p3_clusters": p3_clusters, "p6_ids": p6_ids}
 
 _VALUES = """
 WITH v AS (
