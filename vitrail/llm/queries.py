@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrail.llm import bpe, mixture, neighbours, percentiles
+from vitrail.llm import bpe, mixture, neighbours, percentiles, spam
 from vitrail.sources.tables import read_table
 
 REVISION = ["model_id", "model_version", "model_cache_revision", "alignment_revision"]
@@ -67,7 +67,12 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(read_table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_combined": p2_combined, "p3_found": p3_found, "p3_clusters": p3_clusters, "p6_ids": p6_ids}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are spam of keywords, links or product tags."""
+    return spam.find_spam(read_table(spark, d, "documents"), read_table(spark, d, "page_labels")).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_combined": p2_combined, "p3_found": p3_found, "p3_clusters": p3_clusters, "p6_ids": p6_ids, "p8_found": p8_found}
 
 _VALUES = """
 WITH v AS (
