@@ -204,11 +204,22 @@ def assign_cells(unit: np.ndarray, anchors: np.ndarray, probes: int) -> np.ndarr
     return out
 
 
+def pack(x: np.ndarray) -> np.ndarray:
+    """Floats as bytes with equal places of all floats of a row together, which compresses better in a shuffle."""
+    n, d = x.shape
+    return np.ascontiguousarray(np.ascontiguousarray(x, np.float32).view(np.uint8).reshape(n, d, 4).transpose(0, 2, 1)).reshape(n, 4 * d)
+
+
+def unpack(packed: np.ndarray) -> np.ndarray:
+    n, w = packed.shape
+    return np.ascontiguousarray(packed.reshape(n, 4, w // 4).transpose(0, 2, 1)).reshape(n, w).view(np.float32)
+
+
 def explode_cells(keys: list[pa.Array], x: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
-    """A row for each cell of each vector: the keys, the cell, all its cells and the stored floats."""
+    """A row for each cell of each vector: the keys, the cell, all its cells and the stored floats, packed."""
     n, p = cells.shape
     take = pa.array(np.repeat(np.arange(n), p))
-    vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), n, [None, pa.py_buffer(np.ascontiguousarray(x, np.float32))]).cast(pa.binary())
+    vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), n, [None, pa.py_buffer(pack(x))]).cast(pa.binary())
     all_cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * p), n, [None, pa.py_buffer(np.ascontiguousarray(cells, np.int32))]).cast(pa.binary())
     return pa.RecordBatch.from_arrays([*[key.take(take) for key in keys], pa.array(cells.ravel()), all_cells.take(take), vec.take(take)], ["g", "row_id", "cell", "cells", "vec"])
 
@@ -230,10 +241,7 @@ def sorted_blocks(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator
         if not n:
             continue
         g, ids, cell = (np.asarray(batch.column(x)) for x in range(3))
-        vecs = np.frombuffer(batch.column(4).cast(pa.large_binary()).buffers()[2], np.float32) if batch.column(4).offset == 0 else None
-        if vecs is None or len(vecs) != n * dimension:
-            vecs = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float32)
-        vecs = vecs.reshape(n, dimension)
+        vecs = unpack(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(n, 4 * dimension))
         cells = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int32).reshape(n, -1)
         edges = np.flatnonzero((np.diff(g) != 0) | (np.diff(cell) != 0)) + 1
         for a, b in zip([0, *edges], [*edges, n]):
