@@ -205,7 +205,12 @@ class ByteBpe:
         return out[0] if len(out) == 1 else np.concatenate(out)
 
     def count(self, text: str | None) -> int:
-        return sum(int(self.length[self._codes(words)].sum()) for words in self._pieces(text)) if text else 0
+        """The number of ids of ``text``."""
+        total = 0
+        for words in self._pieces(text or ""):
+            codes = self._codes(words)  # may move self.length
+            total += int(self.length[codes].sum())
+        return total
 
 
 @lru_cache(maxsize=4)
