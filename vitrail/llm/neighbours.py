@@ -1,7 +1,8 @@
 """The most similar vectors of every vector, by a block matrix join.
 
-1. Exact copies of a vector form a class; one representative each goes on. So a vector that a third of all
-   rows share is compared once, and its rows are ranked by id when the result is expanded.
+1. Exact copies of a vector form a class; only its smallest row goes on. So a vector that a third of all
+   rows share is compared once, and its rows are ranked by id when the result is expanded. The other rows of classes are left out by a broadcast list of
+   their ids if it is within ``EXCLUDED_BOUND``, else by a join.
 2. ``anchor_factor * sqrt(rows)`` vectors, drawn by hash from all distinct vectors, are broadcast (a checked size). Each representative
    joins the blocks of its ``probes`` most similar anchors. Dense regions draw as many anchors as they have vectors, so blocks
    stay of similar size whatever the data.
@@ -23,8 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrail.sources.tables import cut
+
 #: Broadcast anchors take no more than this; beyond it blocks grow instead.
 ANCHOR_BYTES = 64 << 20
+#: Ids of left-out rows are broadcast up to this number (8 bytes each).
+EXCLUDED_BOUND = 1_000_000
 #: Tables of fewer rows are one block, which is exact.
 ONE_BLOCK = 2000
 #: Similarities are rounded to this many digits before they are ranked, so that scaled copies tie.
@@ -56,9 +61,25 @@ def light_rows(df: DataFrame, id_column: str, vector_column: str, dimension: int
     ).where(F.col("row_id").isNotNull())
 
 
-def class_table(light: DataFrame) -> DataFrame:
-    """(g, h1, h2, rep, multi): the classes of exact copies, by smallest row, and whether they have more rows."""
-    return light.groupBy("g", "h1", "h2").agg(F.min("row_id").alias("rep"), (F.min("row_id") < F.max("row_id")).alias("multi"))
+def copies_of(light: DataFrame) -> DataFrame:
+    """(rep, row_id): the rows of every class of more than one row, named by its smallest row; written to the checkpoint folder."""
+    classes = light.groupBy("g", "h1", "h2").agg(F.min("row_id").alias("rep"), F.max("row_id").alias("last")).where("rep < last")
+    return cut(light.join(classes.drop("last"), ["g", "h1", "h2"]).select("rep", "row_id").distinct())
+
+
+def leave_out(vectors: DataFrame, excluded: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The vectors, and the sorted ids that must still be left out; more than ``EXCLUDED_BOUND`` ids are left out by a join instead."""
+    ids = np.asarray(excluded.select("row_id").limit(EXCLUDED_BOUND + 1).toArrow().column(0).combine_chunks())
+    if len(ids) > EXCLUDED_BOUND:
+        return vectors.join(excluded.select("row_id"), "row_id", "left_anti").select("g", "row_id", "vec"), np.zeros(0, np.int64)
+    return vectors, np.sort(ids)
+
+
+def kept(ids: np.ndarray, excluded: np.ndarray) -> np.ndarray:
+    """Which ids aren't among the sorted ``excluded``."""
+    if not len(excluded):
+        return np.ones(len(ids), bool)
+    return excluded[np.minimum(np.searchsorted(excluded, ids), len(excluded) - 1)] != ids
 
 
 def vector_array(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +102,10 @@ def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def representatives(df: DataFrame, classes: DataFrame, id_column: str, vector_column: str, dimension: int) -> DataFrame:
-    """(g, row_id, vec): the vector of each class, once; the vectors are shuffled once, by row."""
-    vectors = df.where(usable(vector_column, dimension)).select(F.col(id_column).cast("bigint").alias("row_id"), F.col(vector_column).cast("array<float>").alias("vec"))
-    return vectors.join(classes.select(F.col("rep").alias("row_id"), "g"), "row_id").dropDuplicates(["row_id"]).select("g", "row_id", "vec")
+def plain_vectors(df: DataFrame, id_column: str, vector_column: str, dimension: int, group_columns: list[str]) -> DataFrame:
+    """(g, row_id, vec) of rows with an id and a vector of full length."""
+    full = df.where((F.size(vector_column) == dimension) & F.col(id_column).isNotNull())
+    return full.select(group_key(group_columns).alias("g"), F.col(id_column).cast("bigint").alias("row_id"), F.col(vector_column).cast("array<float>").alias("vec"))
 
 
 def draw_anchors(df: DataFrame, vector_column: str, dimension: int, factor: float, rows: int) -> np.ndarray:
@@ -224,17 +245,28 @@ def explode_cells(keys: list[pa.Array], x: np.ndarray, cells: np.ndarray) -> pa.
     return pa.RecordBatch.from_arrays([*[key.take(take) for key in keys], pa.array(cells.ravel()), all_cells.take(take), vec.take(take)], ["g", "row_id", "cell", "cells", "vec"])
 
 
+def wanted_vectors(batches: Iterator[pa.RecordBatch], dimension: int, excluded: np.ndarray) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+    """The keys g and row_id and the vectors of the usable rows of each batch that aren't excluded."""
+    for batch in batches:
+        good, x = vector_array(batch.column(2), dimension)
+        keep = kept(np.asarray(batch.column(1))[good], excluded)
+        if keep.any():
+            at = pa.array(good[keep])
+            yield [batch.column(0).take(at), batch.column(1).take(at)], x[keep]
+
+
 CELL_SCHEMA = "g bigint, row_id bigint, cell int, cells binary, vec binary"
 
 
 def sorted_blocks(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(g, cell, ids, cells, vectors) of each block of rows that come sorted by g, cell and row."""
+    """(g, cell, ids, cells, vectors) of each block of rows that come sorted by g, cell and row; rows that came twice count once."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     current: tuple[int, int] | None = None
 
     def block():
         ids, cells, vecs = (np.concatenate([h[x] for h in held]) for x in range(3))
-        return (*current, ids, cells, vecs)
+        once = np.concatenate([[True], np.diff(ids) != 0])
+        return (*current, ids[once], cells[once], vecs[once])
 
     for batch in batches:
         n = batch.num_rows
@@ -276,16 +308,13 @@ def most_similar(
     source = df.select(F.col(id_column), F.col(vector_column), *[F.col(c) for c in dict.fromkeys(groups) if c not in (id_column, vector_column)])
     anchors = draw_anchors(source, vector_column, dimension, anchor_factor, source.count())
     shared = df.sparkSession.sparkContext.broadcast(anchors)
-    light = light_rows(source, id_column, vector_column, dimension, groups)
-    classes = class_table(light)
-    reps = representatives(source, classes, id_column, vector_column, dimension)
+    copies = copies_of(light_rows(source, id_column, vector_column, dimension, groups))
+    vectors, excluded = leave_out(plain_vectors(source, id_column, vector_column, dimension, groups), copies.where("row_id <> rep"))
+    sent = df.sparkSession.sparkContext.broadcast(excluded)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good, x = vector_array(batch.column(2), dimension)
-            if len(good):
-                at = pa.array(good)
-                yield explode_cells([batch.column(0).take(at), batch.column(1).take(at)], x, assign_cells(normalised(x), shared.value, probes))
+        for keys, x in wanted_vectors(batches, dimension, sent.value):
+            yield explode_cells(keys, x, assign_cells(normalised(x), shared.value, probes))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cell, ids, cells, x in sorted_blocks(batches, dimension):
@@ -294,24 +323,22 @@ def most_similar(
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(sims)], ["a", "b", "similarity"])
 
-    blocks = reps.mapInArrow(assign, CELL_SCHEMA).repartition("g", "cell").sortWithinPartitions("g", "cell", "row_id")
+    blocks = vectors.mapInArrow(assign, CELL_SCHEMA).repartition("g", "cell").sortWithinPartitions("g", "cell", "row_id")
     found = blocks.mapInArrow(search, "a bigint, b bigint, similarity double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b"))).where(F.col("rank") <= k).drop("rank")
-    return expand_classes(ranked, light, classes, k)
+    return expand_classes(ranked, copies, k)
 
 
 #: Rows of one class that meet the class's neighbours in one task.
 ROWS_PER_SALT = 10_000
 
 
-def expand_classes(ranked: DataFrame, light: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def expand_classes(ranked: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """Neighbours of classes as neighbours of rows.
 
     A row of a class of copies has the class's other rows at similarity 1, of which the k smallest can count, and the neighbours of
     its class, each standing for the k smallest rows of its own class. Large classes are salted by row.
     """
-    multi = classes.where("multi").select("g", "h1", "h2", "rep")
-    members = light.join(multi, ["g", "h1", "h2"]).select("rep", "row_id").distinct()
     first = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("row_id"))).where(F.col("n") <= k + 1)
     sizes = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).cast("bigint").alias("salts"))
     salted_members = members.join(sizes, "rep").select("rep", "row_id", F.pmod(F.xxhash64("row_id"), F.col("salts")).alias("salt"))

@@ -32,33 +32,30 @@ def p2_combined(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.from_summary(percentiles.combine(parts, ["root"]), ["root"], PCTS)
 
 
-def _faces(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of face_embeddings whose face_id is in faces."""
-    return read_table(spark, d, "face_embeddings").join(read_table(spark, d, "faces").select("face_id").distinct(), "face_id", "left_semi")
-
-
-def _face_names(rows: DataFrame) -> DataFrame:
-    return rows.select("row_id", "face_id").distinct()
+def _face_names(spark: SparkSession, d: str) -> DataFrame:
+    """(row_id, name) of the vectors whose face_id is in faces."""
+    names = read_table(spark, d, "face_embeddings").select("row_id", F.col("face_id").alias("name")).distinct()
+    return names.join(read_table(spark, d, "faces").select(F.col("face_id").alias("name")), "name", "left_semi").select("row_id", "name")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of faces in one cluster of faces of a cosine of at least 0.70."""
-    rows = _faces(spark, d)
-    found, _ = mixture.clusters(rows, "row_id", "embedding", 128, 0.70, REVISION)
-    named = found.join(_face_names(rows), "row_id").select("cluster", "face_id").distinct()
-    other = named.select("cluster", F.col("face_id").alias("face_b"))
-    return named.withColumnRenamed("face_id", "face_a").join(other, "cluster").where(F.col("face_a") < F.col("face_b")).select("face_a", "face_b")
+    names = _face_names(spark, d)
+    found, _ = mixture.clusters(read_table(spark, d, "face_embeddings"), "row_id", "embedding", 128, 0.70, REVISION, names)
+    named = found.join(names, "row_id").select("cluster", F.col("name").alias("face_a")).distinct()
+    other = named.select("cluster", F.col("face_a").alias("face_b"))
+    return named.join(other, "cluster").where(F.col("face_a") < F.col("face_b")).select("face_a", "face_b")
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Size and most typical faces of every cluster."""
-    rows = _faces(spark, d)
-    found, model = mixture.clusters(rows, "row_id", "embedding", 128, 0.70, REVISION)
-    names = _face_names(rows).withColumnRenamed("face_id", "name")
+    names = _face_names(spark, d)
+    vectors = read_table(spark, d, "face_embeddings")
+    found, model = mixture.clusters(vectors, "row_id", "embedding", 128, 0.70, REVISION, names)
     if model is None:
         density = found.select("row_id", F.lit(0.0).alias("density"))
     else:
-        density = mixture.densities(rows, "row_id", "embedding", 128, model)
+        density = mixture.densities(vectors, "row_id", "embedding", 128, model)
     return mixture.describe(found, density, names)
 
 
