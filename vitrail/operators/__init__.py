@@ -1 +1 @@
-
+"""Operators over DataFrames of a catalog."""

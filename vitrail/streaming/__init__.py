@@ -1 +1 @@
-
+"""Change feeds as structured streams."""
