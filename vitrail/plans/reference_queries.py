@@ -14,7 +14,6 @@ from vitrail.streaming import changes
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-QUERY_ROW = 1
 REVISION = faces.EmbeddingRevision("idvec", "4", "c4-a", "align-2", 128)
 DETECTOR = faces.Detector("facebox", "2.1", "r3-t60")
 COLLECTION_FOLDERS = [(1, "E:\\Materials"), (1, "E:\\Facades\\raw"), (2, "D:\\Family\\Albums"), (2, "F:\\Scans\\Slides"), (3, "c:\\users\\public\\samples")]
@@ -252,10 +251,18 @@ def index_signature(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _literal(spark: SparkSession, d: str) -> dict:
-    return hybrid.query_descriptors(_images(spark, d), QUERY_ROW)
+    """The descriptors of the first image that has all of them."""
+    i = _images(spark, d)
+    v = F.col("embedding")
+    complete = (F.size("color_histogram") == 64) & (F.size("material_texture") == 48) & (F.col("material_texture_version") == 1)
+    complete = complete & F.col("visual_hash").isNotNull() & F.col("dominant.r").isNotNull() & (F.size(v) == 64) & vector.all_finite(v) & (vector.norm(v) > 0)
+    return hybrid.query_descriptors(i, i.where(complete & F.col("path").isNotNull()).agg(F.min("row_id")).first()[0])
 
 
-_Q = f"q AS (SELECT visual_hash AS qh, color_histogram AS qc, material_texture AS qt, dominant AS qd, embedding AS qe, path AS qp FROM images WHERE row_id = {QUERY_ROW})"
+_FINITE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = 64"
+_Q = f"""q AS (SELECT visual_hash AS qh, color_histogram AS qc, material_texture AS qt, dominant AS qd, embedding AS qe, path AS qp FROM images
+ WHERE visual_hash IS NOT NULL AND len(color_histogram) = 64 AND len(material_texture) = 48 AND material_texture_version = 1 AND dominant.r IS NOT NULL AND path IS NOT NULL
+ AND {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0 ORDER BY row_id LIMIT 1)"""
 _MIN_SUM = "least(1.0, greatest(0.0, list_sum(list_transform(list_zip({a}, {b}), lambda z: least(z[1], z[2])::DOUBLE))))"
 
 
@@ -328,7 +335,7 @@ _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
 _EE, _EQ = _DOT.format(a="e", b="e"), _DOT.format(a="e", b="qed")
 _METRICS = f"""
 WITH {_Q}, qn AS (SELECT *, qe::DOUBLE[] AS qed, sqrt(list_sum(list_transform(qe::DOUBLE[], lambda x: x * x))) AS qnorm FROM q),
-i AS (SELECT *, CASE WHEN len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = 64 THEN embedding::DOUBLE[] END AS e FROM images),
+i AS (SELECT *, CASE WHEN {_FINITE} THEN embedding::DOUBLE[] END AS e FROM images),
 x AS (SELECT row_id, path, file_name, replace(path, '/', '\\') = replace(qp, '/', '\\') AS is_exact, {_HASH} AS h,
   CASE WHEN material_texture_version = 1 THEN {_TEXTURE} END AS t,
   CASE WHEN color_histogram IS NOT NULL THEN CASE WHEN len(color_histogram) <> 64 THEN 0 ELSE {_MIN_SUM.format(a='color_histogram', b='qc')} END END AS hist,

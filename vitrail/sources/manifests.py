@@ -20,7 +20,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, columns): lines that aren't blank or comments, trimmed columns. The number orders lines of one file."""
     raw = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
     kept = raw.where((F.trim("value") != "") & ~F.startswith(F.trim("value"), F.lit("#")))
-    return kept.select("line", F.transform(F.split("value", "\t"), F.trim).alias("columns"))
+    return kept.select("line", F.transform(F.split("value", "\t"), lambda x: F.trim(x)).alias("columns"))
 
 
 def _double(c: Column) -> Column:
@@ -33,10 +33,10 @@ def material_manifest(spark: SparkSession, path: str, base: str, separator: str
     A path that repeats in its group counts once; one in several groups is rejected, and so are groups of one.
     """
     rows = lines(spark, path)
-    two = rows.where((F.size("columns") >= 2) & (F.col("columns")[0] != "") & (F.col("columns")[1] != ""))
+    two = rows.where((F.size("columns") >= 2) & (F.get("columns", F.lit(0)) != "") & (F.get("columns", F.lit(1)) != ""))
     bad = rows.join(two.select("line"), "line", "left_anti").select("line", F.lit("two columns are needed").alias("reason"))
-    heading = (text.nocase(F.col("columns")[0]) == "group") & (text.nocase(F.col("columns")[1]) == "path")
-    named = two.where(~heading).select("line", F.col("columns")[0].alias("group"), F.col("columns")[1].alias("_p"))
+    heading = (text.nocase(F.get("columns", F.lit(0))) == "group") & (text.nocase(F.get("columns", F.lit(1))) == "path")
+    named = two.where(~heading).select("line", F.get("columns", F.lit(0)).alias("group"), F.get("columns", F.lit(1)).alias("_p"))
     absolute = F.rlike("_p", F.lit(r"^([A-Za-z]:|[\\/])"))
     named = named.withColumn("path", F.when(absolute, F.col("_p")).otherwise(F.concat(F.lit(base.rstrip("/\\") + separator), F.col("_p")))).withColumn("_k", text.key_folded_trimmed(F.col("path")))
     groups = named.groupBy("_k").agg(F.count_distinct("group").alias("_g"))
@@ -53,20 +53,21 @@ def face_manifest(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame],
 
     The tables have the records whose own line is in order; the rejected lines tell what else forbids the use of the manifest.
     """
-    rows = lines(spark, path).withColumn("tag", text.nocase(F.col("columns")[0]))
+    rows = lines(spark, path).withColumn("tag", text.nocase(F.get("columns", F.lit(0))))
     c = F.col("columns")
+    at = lambda k: F.get(c, F.lit(k))
     known = F.col("tag").isin(*_TAGS)
     needed = F.create_map(*[x for t, n in _TAGS.items() for x in (F.lit(t), F.lit(n))])[F.col("tag")]
     shaped = rows.where(known & (F.size(c) == needed))
     bad = rows.where(~(known & (F.size(c) == needed))).select("line", F.when(known, "wrong number of columns").otherwise("unknown record").alias("reason"))
     flag = lambda x: text.nocase(x).isin("true", "1", "yes")
-    box = lambda k: F.struct(*[_double(c[k + i]).alias(n) for i, n in enumerate(("x", "y", "width", "height"))])
+    box = lambda k: F.struct(*[_double(at(k + i)).alias(n) for i, n in enumerate(("x", "y", "width", "height"))])
     tables = {
-        "model": shaped.where("tag = 'model'").select("line", *[c[i + 1].alias(n) for i, n in enumerate(("id", "version", "provider", "license"))], flag(c[5]).alias("redistributable"), flag(c[6]).alias("commercial_use"), text.nocase(c[7]).alias("source_mode"), c[8].alias("source")),
-        "image": shaped.where("tag = 'image'").select("line", c[1].alias("image_id")),
-        "gt": shaped.where("tag = 'gt'").select("line", c[1].alias("image_id"), box(2).alias("bbox")),
-        "pred": shaped.where("tag = 'pred'").select("line", c[1].alias("image_id"), _double(c[2]).alias("confidence"), box(3).alias("bbox")),
-        "identity": shaped.where("tag = 'identity'").select("line", c[1].alias("query_id"), c[2].alias("query_person"), c[3].alias("candidate_id"), c[4].alias("candidate_person"), _double(c[5]).alias("similarity")),
+        "model": shaped.where("tag = 'model'").select("line", *[at(i + 1).alias(n) for i, n in enumerate(("id", "version", "provider", "license"))], flag(at(5)).alias("redistributable"), flag(at(6)).alias("commercial_use"), text.nocase(at(7)).alias("source_mode"), at(8).alias("source")),
+        "image": shaped.where("tag = 'image'").select("line", at(1).alias("image_id")),
+        "gt": shaped.where("tag = 'gt'").select("line", at(1).alias("image_id"), box(2).alias("bbox")),
+        "pred": shaped.where("tag = 'pred'").select("line", at(1).alias("image_id"), _double(at(2)).alias("confidence"), box(3).alias("bbox")),
+        "identity": shaped.where("tag = 'identity'").select("line", at(1).alias("query_id"), at(2).alias("query_person"), at(3).alias("candidate_id"), at(4).alias("candidate_person"), _double(at(5)).alias("similarity")),
     }
     return tables, _face_rejects(tables, bad)
 
@@ -103,11 +104,12 @@ def _face_rejects(t: dict[str, DataFrame], bad: DataFrame) -> DataFrame:
 
 def runner_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(model, faces, (line, reason)): model records of 7 columns and face records of 14 with ten landmark numbers in [0, 1]."""
-    rows = lines(spark, path).withColumn("tag", text.nocase(F.col("columns")[0]))
+    rows = lines(spark, path).withColumn("tag", text.nocase(F.get("columns", F.lit(0))))
     c = F.col("columns")
-    model = rows.where((F.col("tag") == "model") & (F.size(c) == 7)).select("line", *[c[k + 1].alias(n) for k, n in enumerate(("path", "provider", "license", "redistributable", "commercial_use", "source"))])
-    points = F.array(*[F.struct(_double(c[4 + 2 * k]).alias("x"), _double(c[5 + 2 * k]).alias("y")) for k in range(5)])
-    faces = rows.where((F.col("tag") == "face") & (F.size(c) == 14)).select("line", c[1].alias("face_id"), c[2].alias("person_id"), c[3].alias("image_path"), points.alias("landmarks"))
+    at = lambda k: F.get(c, F.lit(k))
+    model = rows.where((F.col("tag") == "model") & (F.size(c) == 7)).select("line", *[at(k + 1).alias(n) for k, n in enumerate(("path", "provider", "license", "redistributable", "commercial_use", "source"))])
+    points = F.array(*[F.struct(_double(at(4 + 2 * k)).alias("x"), _double(at(5 + 2 * k)).alias("y")) for k in range(5)])
+    faces = rows.where((F.col("tag") == "face") & (F.size(c) == 14)).select("line", at(1).alias("face_id"), at(2).alias("person_id"), at(3).alias("image_path"), points.alias("landmarks"))
     fine = F.forall("landmarks", lambda p: F.coalesce(p["x"].between(0, 1) & p["y"].between(0, 1), F.lit(False)))
     bad = rows.join(model.select("line").unionByName(faces.select("line")), "line", "left_anti").select("line", F.lit("unknown record or wrong number of columns").alias("reason"))
     bad = bad.unionByName(faces.where(~fine).select("line", F.lit("landmark out of range").alias("reason")))

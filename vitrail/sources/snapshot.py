@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-POINTER = "_current.json"
+POINTER = "_current.json"  # hidden from readers of the folder
 
 
 def _fs(spark: SparkSession, path: str):
@@ -39,7 +39,11 @@ def current_version(spark: SparkSession, folder: str) -> str | None:
     target = path(f"{folder}/{POINTER}")
     if not fs.exists(target):
         return None
-    return json.loads(spark.read.text(str(target.toString()), wholetext=True).first()[0])["version"]
+    stream = fs.open(target)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["version"]
+    finally:
+        stream.close()
 
 
 def read_snapshot(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
