@@ -3,9 +3,9 @@
 1. Exact copies of a vector form a class; only its smallest row goes on. So a vector that a third of all
    rows share is compared once, and its rows are ranked by id when the result is expanded. The other rows of classes are left out by a broadcast list of
    their ids if it is within ``EXCLUDED_BOUND``, else by a join.
-2. ``anchor_factor * sqrt(rows)`` vectors, drawn by hash from all distinct vectors, are broadcast (a checked size). Each representative
-   joins the blocks of its ``probes`` most similar anchors. Dense regions draw as many anchors as they have vectors, so blocks
-   stay of similar size whatever the data.
+2. ``anchor_factor * sqrt(rows)`` anchors, the centres of a bounded sample drawn by hash from all distinct vectors, are broadcast (a
+   checked size). Each representative joins the blocks of its ``probes`` most similar anchors. Dense regions draw as many anchors
+   as they have vectors, so blocks stay of similar size whatever the data.
 3. Within a block, tiles of int8 codes are multiplied. Each code has a known quantisation error, hence each product
    a bound; pairs whose bound cannot reach the threshold or the row's k-th best are dropped, the others are recomputed from
    the stored floats in double precision and kept in the row's k best.
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from vitrail.sources.tables import cut
 
 #: Broadcast anchors take no more than this; beyond it blocks grow instead.
-ANCHOR_BYTES = 64 << 20
+ANCHOR_BYTES = 32 << 20
+#: The sample that anchors are fitted to: rows an anchor, bytes at most, rounds.
+SAMPLE_PER_ANCHOR, SAMPLE_BYTES, ANCHOR_ROUNDS = 16, 64 << 20, 3
 #: Ids of left-out rows are broadcast up to this number (8 bytes each).
 EXCLUDED_BOUND = 1_000_000
 #: Tables of fewer rows are one block, which is exact.
@@ -109,17 +111,34 @@ def plain_vectors(df: DataFrame, id_column: str, vector_column: str, dimension:
 
 
 def draw_anchors(df: DataFrame, vector_column: str, dimension: int, factor: float, rows: int) -> np.ndarray:
-    """Unit vectors drawn by hash from the distinct usable vectors: about factor * sqrt(rows), within ``ANCHOR_BYTES``."""
+    """About factor * sqrt(rows) unit vectors, within ``ANCHOR_BYTES``: centres of a sample of the distinct usable vectors."""
     if rows < ONE_BLOCK:
         return np.zeros((0, dimension), np.float32)
-    wanted = min(factor * math.sqrt(rows), ANCHOR_BYTES / (4 * dimension), rows / 4)
-    share = int(wanted / rows * (1 << 31))
+    wanted = int(min(factor * math.sqrt(rows), ANCHOR_BYTES / (4 * dimension), rows / 4))
+    sample = max(wanted, min(SAMPLE_PER_ANCHOR * wanted, rows, SAMPLE_BYTES // (4 * dimension)))
+    share = int(min(1.0, sample / rows) * (1 << 31))
     h = F.xxhash64(F.lit("anchor"), F.col(vector_column))
     drawn = df.where(usable(vector_column, dimension) & (F.pmod(h, F.lit(1 << 31)) < share)).select(F.col(vector_column).cast("array<float>").alias("v")).distinct()
-    table = drawn.limit(int(2 * wanted) + 64).toArrow()
-    _, x = vector_array(table.column("v"), dimension)
-    x = x[np.lexsort(x.T)] if len(x) else x
-    return normalised(x).astype(np.float32) if len(x) else np.zeros((0, dimension), np.float32)
+    _, x = vector_array(drawn.limit(2 * sample + 64).toArrow().column("v"), dimension)
+    if not len(x):
+        return np.zeros((0, dimension), np.float32)
+    unit = normalised(x[np.lexsort(x.T)]).astype(np.float32)
+    start = np.random.default_rng(1).permutation(len(unit))[:wanted]
+    return centres(unit, unit[start])
+
+
+def centres(unit: np.ndarray, anchors: np.ndarray, rounds: int = ANCHOR_ROUNDS) -> np.ndarray:
+    """Anchors moved to the mean direction of the vectors that are nearest to them, a few times; those without any stay."""
+    for _ in range(rounds):
+        nearest = np.concatenate([(unit[s : s + 4096] @ anchors.T).argmax(1) for s in range(0, len(unit), 4096)])
+        order = np.argsort(nearest, kind="stable")
+        begun = np.flatnonzero(np.diff(nearest[order], prepend=-1))
+        total = np.add.reduceat(unit[order].astype(np.float64), begun, axis=0)
+        length = np.sqrt((total * total).sum(1))
+        moved = length > 1e-6
+        anchors = anchors.copy()
+        anchors[nearest[order][begun[moved]]] = (total[moved] / length[moved, None]).astype(np.float32)
+    return anchors
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,7 +315,7 @@ def most_similar(
     min_similarity: float | None = None,
     group_columns: list[str] | None = None,
     probes: int = 3,
-    anchor_factor: float = 8.0,
+    anchor_factor: float = 5.0,
 ) -> DataFrame:
     """(row_id, neighbour_id, similarity, rank): the k most similar comparable rows of each row, best first, ties by smaller id.
 
