@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrail.llm import bpe, mixture, neighbours, packing, percentiles, spam
-from vitrail.sources.tables import read_table
+from vitrail.sources.tables import cut, read_table
 
 REVISION = ["model_id", "model_version", "model_cache_revision", "alignment_revision"]
 
@@ -35,7 +35,7 @@ def p2_combined(spark: SparkSession, d: str) -> DataFrame:
 def _face_names(spark: SparkSession, d: str) -> DataFrame:
     """(row_id, name) of the vectors whose face_id is in faces."""
     names = read_table(spark, d, "face_embeddings").select("row_id", F.col("face_id").alias("name")).distinct()
-    return names.join(read_table(spark, d, "faces").select(F.col("face_id").alias("name")), "name", "left_semi").select("row_id", "name")
+    return cut(names.join(read_table(spark, d, "faces").select(F.col("face_id").alias("name")), "name", "left_semi").select("row_id", "name"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
