@@ -12,6 +12,16 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """The table, dealt out over all cores if its files make fewer partitions than that.
+
+    For operators that spend far more on a row than moving it costs. Tables of many files are not shuffled.
+    """
+    df = read_table(spark, directory, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
