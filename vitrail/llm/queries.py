@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrail.llm import bpe, mixture, neighbours, packing, percentiles, spam
-from vitrail.sources.tables import cut, read_table
+from vitrail.sources.tables import cut, read_spread, read_table
 
 REVISION = ["model_id", "model_version", "model_cache_revision", "alignment_revision"]
 
@@ -61,12 +61,12 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
-    return bpe.encode_corpus(read_table(spark, d, "documents"))
+    return bpe.encode_corpus(read_spread(spark, d, "documents"))
 
 
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     """Containers of every budget of tokens and the texts, or pieces of long texts, in them."""
-    return packing.pack_documents(read_table(spark, d, "documents"), read_table(spark, d, "token_budgets"))
+    return packing.pack_documents(read_spread(spark, d, "documents"), read_table(spark, d, "token_budgets"))
 
 
 def p7_unused(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def p7_unused(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are spam of keywords, links or product tags."""
-    return spam.find_spam(read_table(spark, d, "documents"), read_table(spark, d, "page_labels")).select("doc_id")
+    return spam.find_spam(read_spread(spark, d, "documents"), read_table(spark, d, "page_labels")).select("doc_id")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_combined": p2_combined, "p3_found": p3_found, "p3_clusters": p3_clusters, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_unused": p7_unused, "p8_found": p8_found}

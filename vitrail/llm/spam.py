@@ -14,6 +14,7 @@ import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,18 @@ def clean(text: str) -> str:
     return regex.sub(r"[\p{Cf}­]+", "", text)
 
 
+@lru_cache(maxsize=1 << 17)
+def _word(kind: str, token: str) -> tuple[str, bool, bool, bool]:
+    """(the folded word, is a function word, is a link, is a code or tag)."""
+    token = token.casefold()
+    if kind == "word" and not token.isascii() and regex.search(r"\p{Cyrillic}", token) and regex.search(r"\p{Latin}", token):
+        token = token.translate(LOOKALIKES)
+    token = token.replace("’", "'")
+    function = kind == "kana" or token in _ANY or ("'" in token and token.split("'")[0] in _ANY)
+    is_code = kind == "tag" or (kind == "word" and any(c.isdigit() for c in token)) or token in ("sku", "eur")
+    return token, function, kind in ("link", "markup"), is_code
+
+
 def describe(text: str | None) -> tuple:
     """(language or None, words, features...) of a text; no words and zeros for a null, empty or blank one."""
     if not text or not text.strip():
@@ -59,43 +72,41 @@ def describe(text: str | None) -> tuple:
     words: list[str] = []
     function, link, code = [], [], []
     stops = marks = 0
-    for m in TOKEN.finditer(clean(text)):
-        kind, token = m.lastgroup, m.group()
+    for m in TOKEN.finditer(text if text.isascii() else clean(text)):
+        kind = m.lastgroup
         if kind == "stop":
             stops += 1
             continue
         if kind == "mark":
             marks += 1
             continue
+        token = m.group()
         if kind == "markup":
             marks += 1
             if "href" not in token:
                 continue
-            kind = "link"
-        token = token.casefold()
-        if kind == "word" and not token.isascii():
-            if regex.search(r"\p{Cyrillic}", token) and regex.search(r"\p{Latin}", token):
-                token = token.translate(LOOKALIKES)
-        token = token.replace("’", "'")
+        token, is_function, is_link, is_code = _word(kind, token)
         words.append(token)
-        link.append(kind == "link")
-        code.append(kind == "tag" or (kind == "word" and any(c.isdigit() for c in token)) or token in ("sku", "eur"))
-        function.append(kind == "kana" or token in _ANY or ("'" in token and (token.split("'")[0] in _ANY)))
+        function.append(is_function)
+        link.append(is_link)
+        code.append(is_code)
     n = len(words)
     if not n:
         return (None, 0, *[0.0] * len(FEATURES))
     fw, links, codes = np.array(function, float), np.array(link, float), np.array(code, float)
-    kinds: dict[str, list[int]] = {}
-    for k in np.flatnonzero(fw):
-        kinds.setdefault(words[k], []).append(k)
+    at = np.flatnonzero(fw)
     near = np.zeros(n + 1)
-    for places in kinds.values():
-        at = np.array(places)
+    if len(at):
+        # Each kind of function word reaches the places around it; reaches of one kind that overlap count once.
+        numbers: dict[str, int] = {}
+        kind_of = np.array([numbers.setdefault(words[k], len(numbers)) for k in at])
+        order = np.argsort(kind_of, kind="stable")
+        at, kind_of = at[order], kind_of[order]
         ends = np.minimum(n, at + WINDOW // 2 + 1)
         starts = np.maximum(0, at - WINDOW // 2)
-        starts[1:] = np.maximum(starts[1:], ends[:-1])
-        np.add.at(near, starts, 1)
-        np.add.at(near, ends, -1)
+        same = np.flatnonzero(np.diff(kind_of) == 0) + 1
+        starts[same] = np.maximum(starts[same], ends[same - 1])
+        near = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
     listed = (links > 0) | (codes > 0)
     strung = (np.cumsum(near[:n]) < DISTINCT) | (links > 0) if n >= CAPTION else listed
     counts = Counter(words)
