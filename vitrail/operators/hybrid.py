@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrail.functions import score, text, vector
 from vitrail.functions.score import SimilaritySettings
+from vitrail.sources.tables import cut
 
 # Results at most, candidates of a component at most, rows from which candidates are chosen first.
 MAX_RESULTS, MAX_COMPONENT_CANDIDATES, PIPELINE_MIN_ROWS = 2000, 3000, 4000
@@ -23,22 +24,25 @@ def with_metrics(rows: DataFrame, query: dict, settings: SimilaritySettings, is_
     ``query`` has dominant (r, g, b), visual_hash, color_histogram, material_texture and embedding (a unit vector); those that are None count as
     missing. The exact row has 1 throughout. A histogram is scored if it weighs or the gate needs it, other components if they weigh.
     """
-    lit_array = lambda v: F.array(*[F.lit(float(x)) for x in v])
     nothing = F.lit(None).cast("double")
     dominant = score.rgb_similarity(F.struct(*[F.lit(int(v)).alias(c) for v, c in zip(query["dominant"], "rgb")]), F.col("dominant"))
     histogram = hash_score = clip = nothing
     if query.get("color_histogram") is not None and (settings.color_distribution_weight > 0 or settings.strict_color_rejection):
-        histogram = score.histogram_intersection(lit_array(query["color_histogram"]).cast("array<float>"), F.col("color_histogram"))
+        h = F.col("color_histogram")
+        same = F.size(h) == len(query["color_histogram"])
+        histogram = F.when(h.isNotNull(), F.when(same, score.histogram_intersection_with(query["color_histogram"], h)).otherwise(F.lit(0.0)))
     if settings.texture_weight > 0:
         hashes = nothing if query.get("visual_hash") is None else score.hash_similarity(F.lit(query["visual_hash"]).cast("bigint"), F.col("visual_hash"))
         texture = nothing
         if query.get("material_texture") is not None:
             current = F.when(F.col("material_texture_version") == 1, F.col("material_texture"))
-            texture = score.texture_similarity(lit_array(query["material_texture"]).cast("array<float>"), current)
+            texture = score.texture_similarity_with(query["material_texture"], current)
         hash_score = score.blend_texture_and_hash(hashes, texture)
     if settings.clip_weight > 0 and query.get("embedding") is not None:
         v = F.col("embedding")
-        cosine = vector.cosine_to_unit_query(lit_array(query["embedding"]), v, F.coalesce(F.col("embedding_normalized"), F.lit(False)))
+        d, n = vector.dot_literal(v, query["embedding"]), vector.norm(v)
+        scaled = F.when(F.coalesce(F.col("embedding_normalized"), F.lit(False)), d).when(n * n <= vector.EPSILON, F.lit(-1.0)).otherwise(d / n)
+        cosine = F.when(F.size(v) == len(query["embedding"]), scaled).otherwise(F.lit(-1.0))
         clip = F.when(v.isNotNull(), score.clamp01(cosine))
     one = F.lit(1.0)
     gate = score.passes_color_gate(F.col("histogram_score"), F.col("dominant_score"), settings)
@@ -56,24 +60,25 @@ def eligible(metrics: DataFrame) -> DataFrame:
 def candidates(metrics: DataFrame, settings: SimilaritySettings, n: int, id_column: str, most_results: int = MAX_RESULTS, most_candidates: int = MAX_COMPONENT_CANDIDATES, min_rows: int = PIPELINE_MIN_ROWS) -> DataFrame:
     """The rows worth an exact score: the best of each weighing component and the exact row.
 
-    Few rows, no weighing component or too few candidates mean all eligible rows. Ties of a component are broken by id. The bests of each
-    component are limits, so no component sorts the whole table in one task.
+    Few rows, no weighing component or too few candidates mean all eligible rows. Ties of a component are broken by id. No component
+    sorts the whole table in one task.
     """
     all_rows = eligible(metrics)
     if n <= min_rows:
         return all_rows
     limit = component_limit(n, most_results, most_candidates)
     weights = {"histogram_score": settings.color_distribution_weight, "hash_score": settings.texture_weight, "clip_score": settings.clip_weight, "dominant_score": settings.dominant_color_weight}
-    ranked = all_rows.where(~F.col("is_exact"))
-    chosen = None
-    for name, weight in weights.items():
-        if weight > 0:
-            best = ranked.where(F.col(name).isNotNull()).orderBy(F.col(name).desc(), id_column).limit(limit).select(id_column)
-            chosen = best if chosen is None else chosen.unionByName(best)
-    if chosen is None:
+    weighing = [name for name, weight in weights.items() if weight > 0]
+    if not weighing:
         return all_rows
-    chosen = chosen.unionByName(all_rows.where("is_exact").select(id_column)).distinct()
-    if chosen.count() < min(most_results, all_rows.count()):
+    # Scores and ids only, computed once; the bests of all components come from one pass that keeps ``limit`` rows a partition.
+    slim = cut(all_rows.select(id_column, "is_exact", *weighing))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("component"), F.col(name).alias("score")) for name in weighing])).alias("s")
+    long = slim.where(~F.col("is_exact")).select(id_column, each).select(id_column, "s.component", "s.score").where(F.col("score").isNotNull())
+    order = Window.partitionBy("component").orderBy(F.col("score").desc(), id_column)
+    best = long.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).select(id_column)
+    chosen = cut(best.unionByName(slim.where("is_exact").select(id_column)).distinct())
+    if chosen.count() < min(most_results, slim.count()):
         return all_rows
     return all_rows.join(chosen, id_column, "left_semi")
 
