@@ -255,13 +255,15 @@ def unpack(packed: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(packed.reshape(n, 4, w // 4).transpose(0, 2, 1)).reshape(n, w).view(np.float32)
 
 
-def explode_cells(keys: list[pa.Array], x: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
-    """A row for each cell of each vector: the keys, the cell, all its cells and the stored floats, packed."""
-    n, p = cells.shape
-    take = pa.array(np.repeat(np.arange(n), p))
-    vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), n, [None, pa.py_buffer(pack(x))]).cast(pa.binary())
-    all_cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * p), n, [None, pa.py_buffer(np.ascontiguousarray(cells, np.int32))]).cast(pa.binary())
-    return pa.RecordBatch.from_arrays([*[key.take(take) for key in keys], pa.array(cells.ravel()), all_cells.take(take), vec.take(take)], ["g", "row_id", "cell", "cells", "vec"])
+def explode_cells(keys: list[pa.Array], x: np.ndarray, cells: np.ndarray, carried: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each cell of each vector (negative ones are none): the keys, the cell, its ``carried`` cells (all by default) and the stored floats, packed."""
+    n = len(cells)
+    carried = cells if carried is None else carried
+    used = cells.ravel() >= 0
+    take = pa.array(np.repeat(np.arange(n), cells.shape[1])[used])
+    binary = lambda a, width: pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(np.ascontiguousarray(a))]).cast(pa.binary())
+    packed, all_cells = binary(pack(x), 4 * x.shape[1]), binary(carried.astype(np.int32), 4 * carried.shape[1])
+    return pa.RecordBatch.from_arrays([*[key.take(take) for key in keys], pa.array(cells.ravel()[used]), all_cells.take(take), packed.take(take)], ["g", "row_id", "cell", "cells", "vec"])
 
 
 def wanted_vectors(batches: Iterator[pa.RecordBatch], dimension: int, excluded: np.ndarray) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
