@@ -126,6 +126,13 @@ def test_copies_are_kept_apart_unless_they_are_too_many(spark):
     assert len(used) <= 51
 
 
+def test_slack_bounds_what_keeping_copies_apart_costs(spark):
+    items = [(i, "s", i, 197) for i in range(100)] + [(1000 + i, "s", 1000, 3) for i in range(100)] + [(2000 + i, "s", 2000 + i // 30, 1) for i in range(90)]
+    assert len(check(packed_rows(spark, items, 200), items, 200)) > 110
+    used = check(packed_rows(spark, items, 200, slack=0.01), items, 200)
+    assert len(used) <= 102
+
+
 def test_packing_edges(spark):
     assert packed_rows(spark, [], 100) == []
     df = spark.createDataFrame([(1, "a", 1, 5)], "item_id bigint, source string, copy bigint, size bigint")

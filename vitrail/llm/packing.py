@@ -5,7 +5,8 @@ falling size. The open containers are ordered by what room they have left, as a
 smallest residual that holds the item and goes on to its successors until it finds the tightest compatible container. Only then a new one is opened.
 
 Compatible means: copies of one text are kept apart. A class of copies may come into a container ``allowance`` times, the least with which the
-class needs no more containers than the whole shard does; that is once, unless a class is very frequent. Among equally tight containers
+class needs no more containers than the whole shard does; that is once, unless a class is very frequent. With a ``slack``, the
+allowance is raised where keeping copies apart would open more containers than that share beyond the fewest that can hold the shard. Among equally tight containers
 one without the item's source is taken, by a bitmap of the sources it holds.
 
 Only an item larger than the capacity is cut: into full containers and a rest, which is packed like an item. A shard
@@ -23,13 +24,16 @@ from vitrail.llm import bpe
 from vitrail.sources.tables import cut
 
 SHARD_ITEMS = 20_000
+#: For texts: the share of containers that keeping copies apart may cost, one at least.
+TEXT_SLACK = 0.005
 SCHEMA = "budget_id int, container_id string, item_id bigint, piece int, first_token bigint, n_tokens int"
 
 
-def best_fit(sizes: list[int], copies: list[int], sources: list[int], capacity: int) -> list[int]:
+def best_fit(sizes: list[int], copies: list[int], sources: list[int], capacity: int, slack: float | None = None) -> list[int]:
     """The container of each item. ``copies`` and ``sources`` are class and source numbers; items come by falling size, copies together."""
     total = sum(sizes)
     fewest = max(1, -(-total // capacity))
+    enough = float("inf") if slack is None else fewest + max(1, int(slack * fewest))
     count: dict[int, int] = {}
     for c in copies:
         count[c] = count.get(c, 0) + 1
@@ -57,6 +61,12 @@ def best_fit(sizes: list[int], copies: list[int], sources: list[int], capacity:
             allowance = -(-count[copy] // fewest)
         bit = 1 << source
         above = residuals >> size
+        if not above and len(room) >= enough and any(room[b] >= size for b in aside):
+            allowance += 1
+            for b in aside:
+                put(b)
+            aside = []
+            above = residuals >> size
         if above:
             r = size + (above & -above).bit_length() - 1
             bucket = buckets[r]
@@ -84,7 +94,7 @@ def best_fit(sizes: list[int], copies: list[int], sources: list[int], capacity:
     return out
 
 
-def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
+def pack_shard(rows: pd.DataFrame, slack: float | None = None) -> pd.DataFrame:
     """Containers of the rows (budget_id, capacity, shard, item_id, source, copy, size) of one budget and shard."""
     budget, capacity, shard = int(rows["budget_id"].iloc[0]), int(rows["capacity"].iloc[0]), int(rows["shard"].iloc[0])
     size = rows["size"].to_numpy(np.int64)
@@ -94,7 +104,7 @@ def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
     source = pd.factorize(rows["source"], use_na_sentinel=False)[0]
     order = np.lexsort((ids, copy, -rest))
     order = order[rest[order] > 0]
-    at = best_fit(rest[order].tolist(), copy[order].tolist(), source[order].tolist(), capacity)
+    at = best_fit(rest[order].tolist(), copy[order].tolist(), source[order].tolist(), capacity, slack)
     packed = pd.DataFrame({"n": np.array(at, np.int64), "item_id": ids[order], "piece": full[order] + 1, "first_token": full[order] * capacity, "n_tokens": rest[order]})
     piece = np.arange(int(full.sum())) - np.repeat(np.cumsum(full) - full, full)
     begun = (max(at) + 1) if at else 0
@@ -105,7 +115,7 @@ def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
     return out[["budget_id", "container_id", "item_id", "piece", "first_token", "n_tokens"]]
 
 
-def pack(items: DataFrame, budgets: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack(items: DataFrame, budgets: DataFrame, shard_items: int = SHARD_ITEMS, slack: float | None = None) -> DataFrame:
     """(budget_id, container_id, item_id, piece, first_token, n_tokens): where each piece of each item goes, for every budget.
 
     ``items`` (item_id, source, copy, size), ``budgets`` (budget_id, capacity). Items of size 0 or null take no room and have no row; a null source is a
@@ -120,7 +130,7 @@ def pack(items: DataFrame, budgets: DataFrame, shard_items: int = SHARD_ITEMS) -
     if each is None:
         return items.sparkSession.createDataFrame([], SCHEMA)
     spread = sized.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")).withColumn("b", each)
-    return spread.select("b.budget_id", "b.capacity", "shard", "item_id", "source", "copy", "size").groupBy("budget_id", "shard").applyInPandas(pack_shard, SCHEMA)
+    return spread.select("b.budget_id", "b.capacity", "shard", "item_id", "source", "copy", "size").groupBy("budget_id", "shard").applyInPandas(lambda rows: pack_shard(rows, slack), SCHEMA)
 
 
 def sized_documents(documents: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY) -> DataFrame:
@@ -132,7 +142,7 @@ def sized_documents(documents: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULA
 
 def pack_documents(documents: DataFrame, budgets: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY) -> DataFrame:
     """``pack`` over the texts of documents; budgets have budget_id and capacity_tokens."""
-    return pack(sized_documents(documents, vocabulary), budgets.select("budget_id", F.col("capacity_tokens").alias("capacity"))).withColumnRenamed("item_id", "doc_id")
+    return pack(sized_documents(documents, vocabulary), budgets.select("budget_id", F.col("capacity_tokens").alias("capacity")), slack=TEXT_SLACK).withColumnRenamed("item_id", "doc_id")
 
 
 def unused_room(packed: DataFrame, budgets: DataFrame) -> DataFrame:
