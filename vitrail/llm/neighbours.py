@@ -32,6 +32,8 @@ ANCHOR_BYTES = 32 << 20
 SAMPLE_PER_ANCHOR, SAMPLE_BYTES, ANCHOR_ROUNDS = 16, 64 << 20, 3
 #: Ids of left-out rows are broadcast up to this number (8 bytes each).
 EXCLUDED_BOUND = 1_000_000
+#: Size of a partition of blocks.
+PARTITION_BYTES = 32 << 20
 #: Tables of fewer rows are one block, which is exact.
 ONE_BLOCK = 2000
 #: Similarities are rounded to this many digits before they are ranked, so that scaled copies tie.
@@ -266,6 +268,13 @@ def explode_cells(keys: list[pa.Array], x: np.ndarray, cells: np.ndarray, carrie
     return pa.RecordBatch.from_arrays([*[key.take(take) for key in keys], pa.array(cells.ravel()[used]), all_cells.take(take), packed.take(take)], ["g", "row_id", "cell", "cells", "vec"])
 
 
+def by_block(cells: DataFrame, rows: int, probes: int, dimension: int) -> DataFrame:
+    """Rows of one block together and sorted, in partitions of about ``PARTITION_BYTES``, however the session is set up."""
+    least = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(least, -(-rows * probes * (4 * dimension + 48) // PARTITION_BYTES))
+    return cells.repartition(partitions, "g", "cell").sortWithinPartitions("g", "cell", "row_id")
+
+
 def wanted_vectors(batches: Iterator[pa.RecordBatch], dimension: int, excluded: np.ndarray) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
     """The keys g and row_id and the vectors of the usable rows of each batch that aren't excluded."""
     for batch in batches:
@@ -327,7 +336,8 @@ def most_similar(
     """
     groups = group_columns or []
     source = df.select(F.col(id_column), F.col(vector_column), *[F.col(c) for c in dict.fromkeys(groups) if c not in (id_column, vector_column)])
-    anchors = draw_anchors(source, vector_column, dimension, anchor_factor, source.count())
+    rows = source.count()
+    anchors = draw_anchors(source, vector_column, dimension, anchor_factor, rows)
     shared = df.sparkSession.sparkContext.broadcast(anchors)
     copies = copies_of(light_rows(source, id_column, vector_column, dimension, groups))
     vectors, excluded = leave_out(plain_vectors(source, id_column, vector_column, dimension, groups), copies.where("row_id <> rep"))
@@ -344,7 +354,7 @@ def most_similar(
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(sims)], ["a", "b", "similarity"])
 
-    blocks = vectors.mapInArrow(assign, CELL_SCHEMA).repartition("g", "cell").sortWithinPartitions("g", "cell", "row_id")
+    blocks = by_block(vectors.mapInArrow(assign, CELL_SCHEMA), rows, probes, dimension)
     found = blocks.mapInArrow(search, "a bigint, b bigint, similarity double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b"))).where(F.col("rank") <= k).drop("rank")
     return expand_classes(ranked, copies, k)
