@@ -240,3 +240,18 @@ def test_settings():
     assert settings.parse("enabled=TRUE\nmin_similarity=x", settings.FaceSettings()) == settings.FaceSettings(enabled=True)
     assert settings.parse(settings.render(s), settings.IndexingSettings()) == s
     assert settings.load("/none", settings.DetectorSettings()) == settings.DetectorSettings()
+
+
+def test_schemas_and_new_libraries(spark, tmp_path):
+    from vitrail.operators import faces
+    from vitrail.sources import schema
+
+    folder = str(tmp_path / "images")
+    old = spark.createDataFrame([("a", 1)], "path string, size bigint")
+    snapshot.write_snapshot(old, folder)
+    got = snapshot.read_snapshot(spark, folder, schema.IMAGES)
+    assert got.columns == schema.IMAGES.names and rows(got, "path", "size", "embedding") == [("a", 1, None)]
+    meta = spark.createDataFrame(schema.new_library_meta(), schema.META)
+    assert verify.preflight(meta)["schema_version"] == 1 and schema.new_library_id() != schema.new_library_id()
+    a, b = faces.detector_revision("1", 0.6, 0.3, 5000), faces.detector_revision("1", 0.60001, 0.3, 5000)
+    assert a != b and a == faces.detector_revision("1", 0.6, 0.3, 5000)

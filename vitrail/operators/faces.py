@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 from functools import reduce
 
@@ -33,6 +34,12 @@ class EmbeddingRevision:
     schema_version: int = EMBEDDING_SCHEMA
 
 
+def detector_revision(version: str, score_threshold: float, nms_threshold: float, top_k: int, model: bytes = b"") -> str:
+    """A cache revision that changes with the version, the exact thresholds (as 32-bit floats) and the model's content."""
+    bits = [struct.unpack("<I", struct.pack("<f", x))[0] for x in (score_threshold, nms_threshold)]
+    return f"{version}-s{bits[0]:08x}-n{bits[1]:08x}-k{top_k}-m{hashing.fnv1a(model):016x}"
+
+
 def _all(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
