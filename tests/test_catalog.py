@@ -171,10 +171,11 @@ def test_profile(spark):
     assert rows(profile.run_summary(outcomes)) == [("q", 1, 0, 1, 0), ("r", 2, 1, 0, 1)]
 
 
-def test_nearest_rank_against_sorting(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_nearest_rank_against_sorting(spark, one_task):
     rng = random.Random(4)
     data = [(rng.choice("ab"), rng.choice([None, *range(20)])) for _ in range(500)]
-    got = {r.g: r for r in profile.nearest_rank(spark.createDataFrame(data, "g string, v int"), ["g"], "v", {"a": 0.0, "m": 0.5, "z": 1.0}).collect()}
+    got = {r.g: r for r in profile.nearest_rank(spark.createDataFrame(data, "g string, v int"), ["g"], "v", {"a": 0.0, "m": 0.5, "z": 1.0}, one_task).collect()}
     for g in "ab":
         v = sorted(x for k, x in data if k == g and x is not None)
         assert (got[g].a, got[g].m, got[g].z) == (v[0], v[int((len(v) - 1) * 0.5 + 0.5)], v[-1])
@@ -255,3 +256,16 @@ def test_schemas_and_new_libraries(spark, tmp_path):
     assert verify.preflight(meta)["schema_version"] == 1 and schema.new_library_id() != schema.new_library_id()
     a, b = faces.detector_revision("1", 0.6, 0.3, 5000), faces.detector_revision("1", 0.60001, 0.3, 5000)
     assert a != b and a == faces.detector_revision("1", 0.6, 0.3, 5000)
+
+
+def test_row_numbers_over_many_partitions(spark):
+    from vitrail.operators.ordering import row_numbers, running_totals
+
+    ids = random.Random(7).sample(range(10**6), 5000)
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(7)
+    assert [r.id for r in row_numbers(df, ["id"]).orderBy("_row").collect()] == sorted(ids)
+    assert [r._row for r in row_numbers(df, ["id"]).orderBy("id").collect()] == list(range(5000))
+    counted = df.select((F.col("id") % 3).alias("g"), "id", F.lit(2).cast("bigint").alias("c"))
+    for r in running_totals(counted, ["g"], "id", "c").where("id % 50 = 0").collect():
+        group = [i for i in ids if i % 3 == r.g]
+        assert r._upto == 2 * sum(i <= r.id for i in group) and r._n == 2 * len(group)

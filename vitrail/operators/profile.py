@@ -6,17 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrail.functions import text
+from vitrail.operators.ordering import running_totals
 
 
-def nearest_rank(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+#: Distinct values of a group that one task may order.
+ONE_TASK = 5_000_000
+
+
+def nearest_rank(df: DataFrame, groups: list[str], value: str, shares: dict[str, float], one_task: int = ONE_TASK) -> DataFrame:
     """(groups..., a column for each share): the value at position round((n - 1) * share) of the ascending values, exact.
 
-    Equal values are counted before anything is ordered, so a group's window has one row per distinct value. Null values don't count; a
-    group without values has no row.
+    Equal values are counted before anything is ordered. If some group has more than ``one_task`` distinct values, at least by estimate, they are ordered in
+    pieces, with the same result. Null values don't count; a group without values has no row.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    ranked = counted.withColumn("_upto", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    estimate = df.groupBy(*groups).agg(F.approx_count_distinct(value).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    if estimate > one_task:
+        ranked = running_totals(counted, groups, value, "_c")
+    else:
+        ranked = counted.withColumn("_upto", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
     picks = []
     for name, share in shares.items():
         k = F.floor((F.col("_n") - 1) * F.lit(float(share)) + 0.5)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrail.functions import vector
+from vitrail.operators.ordering import row_numbers
 
 # Fixed values of the candidate search: neighbours beyond k that are looked at.
 EXTRA_CANDIDATES = 512
@@ -114,11 +115,10 @@ def index_state(folder: str, signature: dict) -> str:
     return "current" if os.path.isdir(os.path.join(folder, "model")) else "missing"
 
 
-def even_sample(df: DataFrame, order: list, n: int, endpoints: bool = False) -> DataFrame:
-    """n rows spread evenly over the order; with ``endpoints`` the first and last row are among them.
+def even_sample(df: DataFrame, order: list[str], n: int, endpoints: bool = False) -> DataFrame:
+    """n rows spread evenly over the order of unique columns; with ``endpoints`` the first and last row are among them.
 
-    The places are i * total // n, or i * (total - 1) // (n - 1). Row numbers come from sorted partitions and the sizes of those before,
-    so no task sees the whole table.
+    The places are i * total // n, or i * (total - 1) // (n - 1). Only the order columns are numbered, piece by piece; the rows are then picked by them.
     """
     total = df.count()
     n = min(n, total)
@@ -128,19 +128,6 @@ def even_sample(df: DataFrame, order: list, n: int, endpoints: bool = False) ->
         places = [i * (total - 1) // (n - 1) for i in range(n)]
     else:
         places = [i * total // n for i in range(n)]
-    numbered = with_row_numbers(df, order)
-    spark = df.sparkSession
-    return numbered.join(F.broadcast(spark.createDataFrame([(p,) for p in sorted(set(places))], "_row bigint")), "_row", "left_semi").drop("_row")
-
-
-def with_row_numbers(df: DataFrame, order: list) -> DataFrame:
-    """``df`` with ``_row``, its place from 0 in the order, by range partitions and their sizes."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_in", F.col("_in") - F.shiftleft(F.col("_part").cast("bigint"), 33))
-    sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
-    before, at = [], 0
-    for part, n in sizes:
-        before.append((part, at))
-        at += n
-    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_part int, _before bigint")
-    return ranged.join(F.broadcast(offsets), "_part").withColumn("_row", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    wanted = df.sparkSession.createDataFrame([(p,) for p in sorted(set(places))], "_row bigint")
+    keys = row_numbers(df.select(*order), order).join(F.broadcast(wanted), "_row", "left_semi").drop("_row")
+    return df.join(F.broadcast(keys), order, "left_semi")  # n keys

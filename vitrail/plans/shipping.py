@@ -15,11 +15,12 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors through Spark's file server, once a Spark application.
 
-    Nothing is sent if PYTHONPATH already names the folder of the package.
+    Nothing is sent if all executors run on this machine and PYTHONPATH names the folder of the package.
     """
     root = Path(__file__).resolve().parents[1]
     application = spark.sparkContext.applicationId
-    if application in _shipped or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    here = spark.sparkContext.master.startswith("local")
+    if application in _shipped or here and str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     # The driver serves this file to the executors as long as the application runs, so it stays.
     archive = os.path.join(tempfile.mkdtemp(prefix="vitrail-"), f"{root.name}.zip")
