@@ -103,6 +103,19 @@ def test_detection_metrics(spark):
     assert (none.tp, none.precision, none.f1) == (0, 0.0, 0.0)
 
 
+def test_whole_groups():
+    import pandas as pd
+
+    rng = random.Random(3)
+    keys = sorted(rng.choice("abcdefg") for _ in range(60))
+    df = pd.DataFrame({"k": keys, "v": range(60)})
+    for size in (1, 2, 7, 60):
+        parts = list(detection.whole_groups((df.iloc[s : s + size] for s in range(0, 60, size)), "k"))
+        assert [v for rows, _ in parts for v in rows["v"]] == list(range(60))
+        assert [len(set(rows["k"].iloc[a:b])) for rows, limits in parts for a, b in zip(limits[:-1], limits[1:])] == [1] * len(set(keys))
+    assert list(detection.whole_groups(iter([]), "k")) == []
+
+
 def test_suppression(spark):
     b = np.array([[0, 0, 1, 1], [0.05, 0, 1, 1], [3, 3, 1, 1]], float)
     assert detection.suppress_image(b, np.array([0.5, 0.9, 0.4])).tolist() == [1, 2]

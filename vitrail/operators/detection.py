@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,33 +25,67 @@ def _iou(box: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.divide(shared, union, out=np.zeros(len(others)), where=union > 0)
 
 
-def match_image(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Predictions of one image by falling confidence (then x, y), each taking the free true box of greatest overlap."""
-    image = rows["image_id"].iloc[0]
-    boxes = ["x", "y", "width", "height"]
-    truth = rows.loc[rows["kind"] == "gt", boxes].to_numpy(float)
-    predictions = rows[rows["kind"] == "pred"].sort_values(["confidence", "x", "y"], ascending=[False, True, True])
-    free = np.ones(len(truth), bool)
-    hits = []
-    for box in predictions[boxes].to_numpy(float):
-        overlap = np.where(free, _iou(box, truth), -1.0) if len(truth) else np.zeros(0)
-        k = int(np.argmax(overlap)) if len(overlap) else -1
-        hit = k >= 0 and overlap[k] >= max(least, 0)
-        hits.append(hit)
-        if hit:
-            free[k] = False
-    out = pd.DataFrame({"kind": ["pred"] * len(hits) + ["gt"] * len(truth), "matched": [*hits, *~free], "area": [0.0] * len(hits) + list(np.prod(np.maximum(truth[:, 2:], 0), axis=1))})
-    out.insert(0, "image_id", image)
-    return out
+def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows that come sorted by ``key``, in frames of whole groups, with the limits of the groups."""
+    held: list[pd.DataFrame] = []
+
+    def frame(parts: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
+        out = pd.concat(parts, ignore_index=True)
+        k = out[key].to_numpy()
+        return out, np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch[key].to_numpy()
+        last = int(np.argmax(k == k[-1]))  # where the last group begins
+        if last:
+            yield frame([*held, batch.iloc[:last]])
+            held = [batch.iloc[last:]]
+        elif held and held[-1][key].iloc[-1] != k[0]:
+            yield frame(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield frame(held)
+
+
+def match_boxes(predictions: np.ndarray, truth: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which predictions, in their order, take a free true box of greatest overlap, and which true boxes are taken."""
+    taken = np.zeros(len(truth), bool)
+    hit = np.zeros(len(predictions), bool)
+    if len(truth):
+        for k, box in enumerate(predictions):
+            overlap = np.where(taken, -1.0, _iou(box, truth))
+            best = int(np.argmax(overlap))
+            if overlap[best] >= max(least, 0):
+                hit[k] = taken[best] = True
+    return hit, taken
 
 
 def match(boxes: DataFrame, least: float = MIN_IOU) -> DataFrame:
     """(image_id, kind, matched, area) of each box of ``boxes`` (image_id, kind gt or pred, confidence, x, y, width, height).
 
-    Boxes with a null image don't count. The boxes of one image are few and go to one task; images spread by hash.
+    Predictions of an image go by falling confidence, then x and y. Boxes with a null image don't count. Images spread by hash; the boxes of one image, which
+    must be matched one after another, are in one task.
     """
-    rows = boxes.where(F.col("image_id").isNotNull()).select("image_id", "kind", "confidence", "x", "y", "width", "height")
-    return rows.groupBy("image_id").applyInPandas(lambda pdf: match_image(pdf, least), _MATCH)
+    names = ["x", "y", "width", "height"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, limits in whole_groups(batches, "image_id"):
+            box = rows[names].to_numpy(float)
+            is_truth = (rows["kind"] == "gt").to_numpy()
+            matched = np.zeros(len(rows), bool)
+            for a, b in zip(limits[:-1], limits[1:]):
+                if b - a > 1:  # a box alone has nothing to match
+                    t = a + int(is_truth[a:b].sum())  # true boxes come first
+                    matched[t:b], matched[a:t] = match_boxes(box[t:b], box[a:t], least)
+            area = np.where(is_truth, np.prod(np.maximum(box[:, 2:], 0), axis=1), 0.0)
+            yield pd.DataFrame({"image_id": rows["image_id"], "kind": rows["kind"], "matched": matched, "area": area})
+
+    rows = boxes.where(F.col("image_id").isNotNull() & F.col("kind").isin("gt", "pred")).select("image_id", "kind", "confidence", *names)
+    return rows.repartition("image_id").sortWithinPartitions("image_id", "kind", F.col("confidence").desc(), *names).mapInPandas(run, _MATCH)
 
 
 def detection_metrics(images: DataFrame, boxes: DataFrame, least: float = MIN_IOU) -> DataFrame:
@@ -82,11 +118,14 @@ def suppress_image(boxes: np.ndarray, scores: np.ndarray, most_iou: float = NMS_
 
 
 def suppress(boxes: DataFrame, most_iou: float = NMS_IOU, top: int = NMS_TOP) -> DataFrame:
-    """The boxes (image_id, score, x, y, width, height) that stay in each image."""
-    columns = ["image_id", "score", "x", "y", "width", "height"]
+    """The boxes (image_id, score, x, y, width, height) that stay in each image; rows with a null image don't count."""
+    names = ["x", "y", "width", "height"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(columns[1:], ascending=[False, True, True, True, True])
-        return pdf.iloc[suppress_image(pdf[columns[2:]].to_numpy(float), pdf["score"].to_numpy(float), most_iou, top)]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, limits in whole_groups(batches, "image_id"):
+            box, value = rows[names].to_numpy(float), rows["score"].to_numpy(float)
+            keep = [np.array([a]) if b - a == 1 else a + suppress_image(box[a:b], value[a:b], most_iou, top) for a, b in zip(limits[:-1], limits[1:])]
+            yield rows.iloc[np.concatenate(keep)]
 
-    return boxes.select(*columns).groupBy("image_id").applyInPandas(run, boxes.select(*columns).schema)
+    slim = boxes.where(F.col("image_id").isNotNull()).select("image_id", "score", *names)
+    return slim.repartition("image_id").sortWithinPartitions("image_id", F.col("score").desc(), *names).mapInPandas(run, slim.schema)
