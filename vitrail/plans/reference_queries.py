@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrail.functions import geometry, hashing, score, text, vector
 from vitrail.functions.score import SimilaritySettings
-from vitrail.operators import catalog, collections, detection, evaluate, faces, hybrid, profile, search, topk, verify
+from vitrail.operators import catalog, collections, detection, evaluate, faces, hybrid, ordering, profile, search, topk, verify
 from vitrail.sources.tables import read_table
 from vitrail.streaming import changes
 
@@ -496,6 +496,15 @@ def markup_attribute(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").where(F.contains("text", F.lit("<a"))).select("doc_id", text.attribute(F.col("text"), "href").alias("target"))
 
 
+_STRIP = """trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({c}, '<[^>]*>', ' ', 'g'), '<[^>]*$', '', 'g'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g'))"""
+
+
+@query(f"SELECT doc_id, md5({_STRIP.format(c='text')}) AS stripped FROM documents WHERE contains(text, '<a')")
+def markup_strip(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of pages without their tags."""
+    return read_table(spark, d, "documents").where(F.contains("text", F.lit("<a"))).select("doc_id", F.md5(text.strip_markup(F.col("text")).cast("binary")).alias("stripped"))
+
+
 @query("""
 SELECT row_id, list_aggregate(list_filter(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN list_position(k, k[i]) = i THEN v[i] END), lambda x: x IS NOT NULL), 'string_agg', ', ') AS kept
 FROM (SELECT row_id, v, list_transform(v, lambda x: translate(trim(x), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS k
@@ -509,6 +518,37 @@ def keyword_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 # Catalog
 
+
+@query(f"SELECT row_id, row_number() OVER (ORDER BY {_FOLD.format(c='file_name')}, path, row_id) - 1 AS place FROM images WHERE file_name IS NOT NULL AND path IS NOT NULL")
+def nocase_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every image by name without regard to case, numbered piece by piece."""
+    i = _images(spark, d).where(F.col("file_name").isNotNull() & F.col("path").isNotNull()).select("row_id", "path", text.nocase(F.col("file_name")).alias("k"))
+    return ordering.row_numbers(i, ["k", "path", "row_id"]).select("row_id", F.col("_row").alias("place"))
+
+
+@query("""
+SELECT row_id, embedding IS NULL OR len(embedding) > 0 AS valid_bytes,
+ coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = len(embedding)
+  AND abs(sqrt(list_sum(list_transform(embedding, lambda x: CASE WHEN isnan(x) OR isinf(x) THEN 0 ELSE x::DOUBLE * x::DOUBLE END))) - 1) <= 1e-3, FALSE) AS is_unit FROM images
+""")
+def verify_dims(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the bytes and the length of every stored vector are in order."""
+    sized = verify.with_blob_sizes(_images(spark, d))
+    return sized.select("row_id", vector.valid_dimension(F.col("embedding_bytes"), F.col("embedding_dim")).alias("valid_bytes"), vector.is_unit(F.col("embedding")).alias("is_unit"))
+
+
+@query("""
+SELECT row_id, round(CASE WHEN len(material_texture) = 48 THEN list_sum(material_texture[1:16])::DOUBLE END, 4) AS gradient_mass, round(CASE WHEN len(color_histogram) > 0 THEN list_sum(color_histogram)::DOUBLE END, 4) AS histogram_mass FROM images
+""")
+def descriptor_mass(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of the gradient part and the histogram of every image, for checks of stored descriptors."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    t, h = F.col("material_texture"), F.col("color_histogram")
+    return _images(spark, d).select(
+        "row_id", F.round(F.when(F.size(t) == 48, total(F.slice(t, 1, 16))), 4).alias("gradient_mass"), F.round(F.when(F.size(h) > 0, total(h)), 4).alias("histogram_mass")
+    )
+
+
 _PREFIX = "CASE WHEN right(root, 1) IN ('\\', '/') THEN root ELSE root || '\\' END"
 
 
