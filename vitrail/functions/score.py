@@ -43,20 +43,6 @@ def histogram_intersection(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), whole)
 
 
-def histogram_intersection_with(query: list[float], candidate: Column, start: int = 0) -> Column:
-    """``histogram_intersection`` with known values, against as many values of the candidate from ``start``: one flat sum in generated code."""
-    total = reduce(lambda x, y: x + y, [F.least(candidate[start + i], F.lit(float(q)).cast("float")).cast("double") for i, q in enumerate(query)], F.lit(0.0))
-    return F.when(F.size(candidate) < start + len(query), F.lit(0.0)).otherwise(clamp01(total)) if query else F.lit(0.0)
-
-
-def texture_similarity_with(query: list[float], candidate: Column) -> Column:
-    """``texture_similarity`` with a known texture."""
-    if len(query) != 48:
-        return F.lit(None).cast("double")
-    parts = [histogram_intersection_with(query[s:e], candidate, s) for s, e in ((0, 8), (8, 16), (16, 32), (32, 48))]
-    return F.when(F.size(candidate) == 48, reduce(lambda x, y: x + y, parts) / 4)
-
-
 def _segments(a: Column, b: Column, bounds: list[tuple[int, int]]) -> Column:
     parts = [histogram_intersection(F.slice(a, s + 1, e - s), F.slice(b, s + 1, e - s)) for s, e in bounds]
     return clamp01(reduce(lambda x, y: x + y, parts) / len(parts))

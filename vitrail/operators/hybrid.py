@@ -28,21 +28,18 @@ def with_metrics(rows: DataFrame, query: dict, settings: SimilaritySettings, is_
     dominant = score.rgb_similarity(F.struct(*[F.lit(int(v)).alias(c) for v, c in zip(query["dominant"], "rgb")]), F.col("dominant"))
     histogram = hash_score = clip = nothing
     if query.get("color_histogram") is not None and (settings.color_distribution_weight > 0 or settings.strict_color_rejection):
-        h = F.col("color_histogram")
-        same = F.size(h) == len(query["color_histogram"])
-        histogram = F.when(h.isNotNull(), F.when(same, score.histogram_intersection_with(query["color_histogram"], h)).otherwise(F.lit(0.0)))
+        histogram = score.histogram_intersection(vector.literal(query["color_histogram"]), F.col("color_histogram"))
     if settings.texture_weight > 0:
         hashes = nothing if query.get("visual_hash") is None else score.hash_similarity(F.lit(query["visual_hash"]).cast("bigint"), F.col("visual_hash"))
         texture = nothing
         if query.get("material_texture") is not None:
             current = F.when(F.col("material_texture_version") == 1, F.col("material_texture"))
-            texture = score.texture_similarity_with(query["material_texture"], current)
+            texture = score.texture_similarity(vector.literal(query["material_texture"]), current)
         hash_score = score.blend_texture_and_hash(hashes, texture)
     if settings.clip_weight > 0 and query.get("embedding") is not None:
         v = F.col("embedding")
-        d, n = vector.dot_literal(v, query["embedding"]), vector.norm(v)
-        scaled = F.when(F.coalesce(F.col("embedding_normalized"), F.lit(False)), d).when(n * n <= vector.EPSILON, F.lit(-1.0)).otherwise(d / n)
-        cosine = F.when(F.size(v) == len(query["embedding"]), scaled).otherwise(F.lit(-1.0))
+        unit = F.array(*[F.lit(float(x)) for x in query["embedding"]])
+        cosine = vector.cosine_to_unit_query(unit, v, F.coalesce(F.col("embedding_normalized"), F.lit(False)))
         clip = F.when(v.isNotNull(), score.clamp01(cosine))
     one = F.lit(1.0)
     gate = score.passes_color_gate(F.col("histogram_score"), F.col("dominant_score"), settings)

@@ -19,7 +19,7 @@ EMBEDDING_BYTES = 32 << 20
 def exact_top_k(df: DataFrame, id_column: str, vector_column: str, query: list[float], k: int) -> DataFrame:
     """(id, similarity): the k rows of largest dot product with a unit query, ties by id. Vectors of another length or null don't count.
 
-    The sum is flat generated code over the literal query; the limit keeps k rows a partition.
+    The query is a constant of the plan; the limit keeps k rows a partition.
     """
     same = F.size(vector_column) == len(query)
     scored = df.where(same).select(F.col(id_column), F.round(vector.dot_literal(F.col(vector_column), query), 6).alias("similarity"))
