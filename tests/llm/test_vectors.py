@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from vitrail.llm import mixture, neighbours, percentiles
+from vitrail.llm import border, mixture, neighbours, percentiles
 
 SCHEMA = "row_id bigint, embedding array<float>, kind string, rank string, similarity string"
 
@@ -209,6 +209,21 @@ def test_clusters_recall_with_default_probes(spark):
     assert len(model.means) > 1
 
 
+@pytest.mark.parametrize("bounds", [{}, {"CHUNK_BYTES": 20_000, "EXCLUDED_BOUND": 3}])
+def test_links_across_components_are_found(spark, monkeypatch, bounds):
+    """One component a vector: what the others hold is linked all the same, in one chunk or in several, with places broadcast or joined."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(border if name == "CHUNK_BYTES" else neighbours, name, value)
+    x = clustered(500, 16, 10, 0.35)
+    kinds = ["a" if i % 7 else "b" for i in range(500)]
+    found, model = mixture.clusters(table(spark, x, kinds=kinds), "row_id", "embedding", 16, 0.75, ["kind"], probes=1)
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r.cluster, set()).add(r.row_id)
+    assert {frozenset(g) for g in groups.values()} == linked(x, range(1, 501), 0.75, kinds)
+    assert all(min(g) == c for c, g in groups.items()) and len(model.means) > 1
+
+
 def test_information_criterion_and_fit():
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(c, 0.3, (400, 3)) for c in (-4, 0, 4)]).astype(np.float32)
