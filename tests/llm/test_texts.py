@@ -126,6 +126,17 @@ def test_copies_are_kept_apart_unless_they_are_too_many(spark):
     assert len(used) <= 51
 
 
+def test_copies_of_other_sizes_are_kept_apart():
+    """A class whose copies differ in size comes in several runs, between which other classes are packed."""
+    items = sorted([(10 + i % 40, c, 0) for c in range(60) for i in range(c, c + 15)] + [(20 + i % 30, 100 + i, 1) for i in range(300)], key=lambda x: (-x[0], x[1]))
+    at = packing.best_fit(*(list(c) for c in zip(*items)), 200)
+    assert len({(b, c) for b, (_, c, _) in zip(at, items)}) == len(items)
+    room = {}
+    for b, (size, *_) in zip(at, items):
+        room[b] = room.get(b, 0) + size
+    assert max(room.values()) <= 200
+
+
 def test_slack_bounds_what_keeping_copies_apart_costs(spark):
     items = [(i, "s", i, 197) for i in range(100)] + [(1000 + i, "s", 1000, 3) for i in range(100)] + [(2000 + i, "s", 2000 + i // 30, 1) for i in range(90)]
     assert len(check(packed_rows(spark, items, 200), items, 200)) > 110

@@ -4,7 +4,7 @@ Items are spread over shards by a hash of their id, ``SHARD_ITEMS`` each, and ev
 falling size. The open containers are ordered by what room they have left, as a bitmap of the residuals that occur; the search starts at the
 smallest residual that holds the item and goes on to its successors until it finds the tightest compatible container. Only then a new one is opened.
 
-Compatible means: copies of one text are kept apart. A class of copies may come into a container ``allowance`` times, the least with which the
+Compatible means: copies of one text are kept apart, also those of other sizes, for every class remembers the containers it is in. A class of copies may come into a container ``allowance`` times, the least with which the
 class needs no more containers than the whole shard does; that is once, unless a class is very frequent. With a ``slack``, the
 allowance is raised where keeping copies apart would open more containers than that share beyond the fewest that can hold the shard. Among equally tight containers
 one without the item's source is taken, by a bitmap of the sources it holds.
@@ -30,7 +30,7 @@ SCHEMA = "budget_id int, container_id string, item_id bigint, piece int, first_t
 
 
 def best_fit(sizes: list[int], copies: list[int], sources: list[int], capacity: int, slack: float | None = None) -> list[int]:
-    """The container of each item. ``copies`` and ``sources`` are class and source numbers; items come by falling size, copies together."""
+    """The container of each item. ``copies`` and ``sources`` are class and source numbers; items come by falling size, copies of one size together."""
     total = sum(sizes)
     fewest = max(1, -(-total // capacity))
     enough = float("inf") if slack is None else fewest + max(1, int(slack * fewest))
@@ -39,9 +39,11 @@ def best_fit(sizes: list[int], copies: list[int], sources: list[int], capacity:
         count[c] = count.get(c, 0) + 1
     room: list[int] = []
     held: list[int] = []  # bitmap of the sources in each container
-    buckets: dict[int, dict[int, list[int]]] = {}  # residual: bitmap of sources: containers
+    buckets: dict[int, dict[int, dict[int, None]]] = {}  # residual: bitmap of sources: containers, the last put first
     residuals = 0  # bit r is set if a container has room r
     aside: list[int] = []
+    filled: dict[int, dict[int, int]] = {}  # class: containers and how many of its copies each holds
+    allowed: dict[int, int] = {}
     used: dict[int, int] = {}
     current, allowance = None, 1
     out = []
@@ -50,19 +52,36 @@ def best_fit(sizes: list[int], copies: list[int], sources: list[int], capacity:
         nonlocal residuals
         r = room[b]
         if r:
-            buckets.setdefault(r, {}).setdefault(held[b], []).append(b)
+            buckets.setdefault(r, {}).setdefault(held[b], {})[b] = None
             residuals |= 1 << r
 
+    def take(r: int, mask: int, b: int | None = None) -> int:
+        nonlocal residuals
+        same = buckets[r][mask]
+        if b is None:
+            b, _ = same.popitem()
+        else:
+            del same[b]
+        if not same:
+            del buckets[r][mask]
+            if not buckets[r]:
+                del buckets[r]
+                residuals ^= 1 << r
+        return b
+
     for size, copy, source in zip(sizes, copies, sources):
         if copy != current:
             for b in aside:
                 put(b)
-            aside, used, current = [], {}, copy
-            allowance = -(-count[copy] // fewest)
+            current, used = copy, filled.setdefault(copy, {})
+            allowance = allowed.setdefault(copy, -(-count[copy] // fewest))
+            aside = [b for b, n in used.items() if n >= allowance and room[b]]
+            for b in aside:
+                take(room[b], held[b], b)
         bit = 1 << source
         above = residuals >> size
         if not above and len(room) >= enough and any(room[b] >= size for b in aside):
-            allowance += 1
+            allowance = allowed[copy] = allowance + 1
             for b in aside:
                 put(b)
             aside = []
@@ -73,12 +92,7 @@ def best_fit(sizes: list[int], copies: list[int], sources: list[int], capacity:
             mask = next((m for m in bucket if not m & bit), None)
             if mask is None:
                 mask = next(iter(bucket))
-            b = bucket[mask].pop()
-            if not bucket[mask]:
-                del bucket[mask]
-                if not bucket:
-                    del buckets[r]
-                    residuals ^= 1 << r
+            b = take(r, mask)
         else:
             b = len(room)
             room.append(capacity)
