@@ -130,3 +130,12 @@ def test_components(spark, kind):
 
 def test_components_empty(spark):
     assert rows(connected_components(spark.createDataFrame([], "a bigint, b bigint"))) == []
+
+
+def test_bare_words_do_not_crowd_out_known_values(spark):
+    fields = ['"upper town, orvelle"'] * 3 + ["upper town, orvelle"] + [w for w in ("slate", "marble", "granite", "onyx") for _ in range(9)]
+    df = spark.createDataFrame(list(enumerate(fields)), "id int, text string")
+    got = rows(packed.split_packed(df, "id", "text", max_entries=1).where("id = 3"))
+    assert got == [(3, 1, "upper town, orvelle")]
+    with pytest.raises(ValueError):
+        packed.value_dictionary(df, "text", max_entries=0)

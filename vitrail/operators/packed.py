@@ -1,8 +1,8 @@
 """Several values packed in one text field, split into one row per value with its position.
 
 Splitting is dictionary-guided. A first pass over all fields counts whole values that are certain: pieces that
-are quoted, escaped or listed, and pieces without any delimiter. The frequent ones (at most ``max_entries``,
-the bound of the broadcast) make the dictionary. A second pass runs a multi-pattern automaton over every field
+are quoted, escaped or listed, and pieces without any delimiter. The frequent ones that hold a delimiter, and their frequent parts, make the dictionary; more
+than ``max_entries``, the bound of the broadcast, are an error. A second pass runs a multi-pattern automaton over every field
 to find the known values, and dynamic programming chooses the cover of the field with the fewest unknown
 pieces and, of these, the most pieces. So a delimiter inside a known value is kept when its parts are
 no values of their own, and a field of known parts is split at each delimiter.
@@ -10,6 +10,7 @@ no values of their own, and a field of known parts is split at each delimiter.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrail.sources.tables import cut
+
 DELIMITERS = ",;|\n\r\t•·、；，"
 QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»", "‘": "’"}
 _DELIMITER_SET = frozenset(DELIMITERS)
+_DELIMITER = re.compile(f"[{re.escape(DELIMITERS)}]")
 _ESCAPABLE = _DELIMITER_SET | frozenset("\\\"'“”[]")
 
 
@@ -158,9 +162,9 @@ class Segmenter:
 
 
 def value_dictionary(df: DataFrame, column: str, min_count: int = 3, max_entries: int = 50_000) -> list[str]:
-    """Folded values that occur at least ``min_count`` times as certain pieces, the most frequent ``max_entries``.
+    """Folded values with a delimiter that occur at least ``min_count`` times as certain pieces, and those of their parts that do; no others bear on a split.
 
-    Counted over all rows; values are pre-counted in each batch before they are shuffled.
+    More than ``max_entries`` raise a ValueError. Counted over all rows; values are pre-counted in each batch before they are shuffled.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +176,18 @@ def value_dictionary(df: DataFrame, column: str, min_count: int = 3, max_entries
             yield pa.RecordBatch.from_pydict({"value": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
     counted = df.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).mapInArrow(count, "value string, n bigint")
-    frequent = counted.groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    return [r[0] for r in frequent.orderBy(F.col("n").desc(), "value").limit(max_entries).select("value").collect()]
+    frequent = cut(counted.groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("value"))
+    compounds = [r[0] for r in frequent.where(F.translate("value", DELIMITERS, "") != F.col("value")).limit(max_entries + 1).collect()]
+    if not compounds:
+        return []
+    pieces = {p.strip() for v in compounds for p in _DELIMITER.split(v)} - {""}
+    known = []
+    if pieces and len(compounds) <= max_entries:
+        parts = df.sparkSession.createDataFrame([(p,) for p in sorted(pieces)], "value string")
+        known = [r[0] for r in frequent.join(F.broadcast(parts), "value", "left_semi").limit(max_entries + 1).collect()]
+    if len(compounds) + len(known) > max_entries:
+        raise ValueError(f"more than {max_entries} known values with delimiters and parts of them")
+    return sorted([*compounds, *known])
 
 
 def split_packed(df: DataFrame, id_column: str, column: str, min_count: int = 3, max_entries: int = 50_000) -> DataFrame:
