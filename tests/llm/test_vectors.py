@@ -209,11 +209,11 @@ def test_clusters_recall_with_default_probes(spark):
     assert len(model.means) > 1
 
 
-@pytest.mark.parametrize("bounds", [{}, {"CHUNK_BYTES": 20_000, "EXCLUDED_BOUND": 3}])
+@pytest.mark.parametrize("bounds", [{}, {"CHUNK_BYTES": 20_000, "EXCLUDED_BOUND": 3}, {"BLOCK_ROWS": 40}])
 def test_links_across_components_are_found(spark, monkeypatch, bounds):
-    """One component a vector: what the others hold is linked all the same, in one chunk or in several, with places broadcast or joined."""
+    """One component a vector: what the others hold is linked all the same, in one chunk or in several, with places broadcast or joined, with components divided."""
     for name, value in bounds.items():
-        monkeypatch.setattr(border if name == "CHUNK_BYTES" else neighbours, name, value)
+        monkeypatch.setattr({"CHUNK_BYTES": border, "BLOCK_ROWS": mixture}.get(name, neighbours), name, value)
     x = clustered(500, 16, 10, 0.35)
     kinds = ["a" if i % 7 else "b" for i in range(500)]
     found, model = mixture.clusters(table(spark, x, kinds=kinds), "row_id", "embedding", 16, 0.75, ["kind"], probes=1)

@@ -288,8 +288,10 @@ def wanted_vectors(batches: Iterator[pa.RecordBatch], dimension: int, excluded:
 CELL_SCHEMA = "g bigint, row_id bigint, cell int, cells binary, vec binary"
 
 
-def sorted_blocks(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(g, cell, ids, cells, vectors) of each block of rows that come sorted by g, cell and row; rows that came twice count once."""
+def sorted_blocks(batches: Iterator[pa.RecordBatch], dimension: int, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(g, cell, ids, cells, vectors) of each block of rows that come sorted by g, cell and row; rows that came twice count once.
+
+    With ``most``, a block of more rows comes in parts of about so many."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     current: tuple[int, int] | None = None
 
@@ -304,11 +306,12 @@ def sorted_blocks(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator
             continue
         g, ids, cell = (np.asarray(batch.column(x)) for x in range(3))
         vecs = unpack(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(n, 4 * dimension))
-        cells = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int32).reshape(n, -1)
+        carried = b"".join(batch.column(3).to_pylist())
+        cells = np.frombuffer(carried, np.int32).reshape(n, len(carried) // 4 // n)
         edges = np.flatnonzero((np.diff(g) != 0) | (np.diff(cell) != 0)) + 1
         for a, b in zip([0, *edges], [*edges, n]):
             key = (int(g[a]), int(cell[a]))
-            if current is not None and key != current:
+            if current is not None and (key != current or (most is not None and sum(len(h[0]) for h in held) >= most)):
                 yield block()
                 held = []
             current = key
