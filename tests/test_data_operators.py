@@ -126,6 +126,7 @@ def test_components(spark, kind):
     }[kind]
     df = spark.createDataFrame([*edges, (None, 3), (7, 7), edges[0]], "a bigint, b bigint")
     assert set(rows(connected_components(df))) == brute_components([e for e in edges if e[0] != e[1]])
+    assert set(rows(connected_components(df, edges_per_task=40))) == brute_components([e for e in edges if e[0] != e[1]])
 
 
 def test_components_empty(spark):
