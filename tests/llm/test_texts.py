@@ -175,23 +175,58 @@ SPAM = {
 }
 
 
+def described(text, words=frozenset("the a of and in is by with from it at to was on for its until near that her she still old".split())):
+    language, n, features = spam.describe([text], spam.Vocabulary({"*": words, "en": words}))
+    return int(n[0]), features[0]
+
+
 @pytest.mark.parametrize("name", SPAM)
 def test_spam_is_strung(name):
-    assert spam.describe(SPAM[name])[2] > 0.5
-    mostly = PROSE * 20 + SPAM[name][:60]
-    assert spam.describe(mostly)[2] < 0.3
+    assert described(SPAM[name])[1][0] > 0.5
+    assert described(PROSE * 20 + SPAM[name][:60])[1][0] < 0.3 and described(PROSE)[1][0] < 0.3
 
 
-def test_prose_is_not():
-    for text in (PROSE, "Weathered cork family picture with slight motion blur", "光が左から入るので、漆喰は明るく写る。検索では701件が見つかり、そのうち8件は大きさが不明だった。" * 3):
-        assert spam.describe(text)[2] < 0.3
-    assert spam.describe(None)[1] == 0 and spam.describe("  ")[1] == 0 and spam.describe("!!!")[1] == 0
+def test_texts_of_a_batch_do_not_touch_each_other():
+    texts = [PROSE, *SPAM.values(), None, "", "  ", "!!!", PROSE + SPAM[next(iter(SPAM))], "x", "x y x y"]
+    words = frozenset("the a of and in is".split())
+    known = spam.Vocabulary({"*": words, "en": words})
+    language, n, features = spam.describe(texts, known)
+    for k, text in enumerate(texts):
+        one = spam.describe([text], spam.Vocabulary({"*": words, "en": words}))
+        assert (language[k], n[k]) == (one[0][0], one[1][0]) and features[k] == pytest.approx(one[2][0], abs=1e-9)
+    assert n[texts.index(None)] == n[texts.index("")] == n[texts.index("!!!")] == 0
+    assert features[-1][5] == 0.5 and features[-1][8] == pytest.approx(2 / 3)
 
 
 def test_lookalikes_and_invisible_characters():
-    plain = spam.describe(PROSE)
-    assert spam.describe(PROSE.replace("the", "t​he"))[2:] == plain[2:]
-    assert spam.describe(PROSE.replace("the", "thе"))[2] == plain[2]
+    plain = described(PROSE)
+    for changed in (PROSE.replace("the", "t\u200bhe"), PROSE.replace("the", "th\u0435")):
+        got = described(changed)
+        assert got[0] == plain[0] and got[1].tolist() == pytest.approx(plain[1].tolist())
+
+
+def test_function_words_are_learned_in_any_language(spark):
+    """Of an invented language: words that all pages share evenly are function words, words in bursts on as many pages are not."""
+    rng = random.Random(5)
+    small, topics = ["ka", "mo", "ti", "ru", "se"], [f"topic{x}" for x in "abcdefghij"]
+    pages = []
+    for i in range(400):
+        words = [w for _ in range(30) for w in (rng.choice(small), f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}q")]
+        if i % 3 == 0:
+            words += [rng.choice(topics)] * 25
+        pages.append((" ".join(words), "xx"))
+    learned = spam.function_words(spark.createDataFrame([*pages, (None, "xx"), ("", None), ("ka mo", "zz")], "t string, l string"))
+    assert set(small) <= learned["xx"] and not set(topics) & learned["xx"] and "zz" not in learned
+    assert set(small) <= learned["*"]
+
+
+def test_short_texts_need_more_to_be_outliers():
+    import numpy as np
+
+    x, zero = np.array([[0.9, 0.7, 0, 0, 0, 0, 0, 0, 0.0]] * 2), np.zeros(9)
+    off, (near, far) = spam.deviations(x, np.array([7, 500]), zero, np.eye(9) * 0.01, {2: (zero + 0.1, zero + 0.1), 8: (zero + 0.5, zero + 0.01)})
+    assert off[0].tolist() == pytest.approx((x[0] - 0.1).tolist()) and off[1].tolist() == x[1].tolist()
+    assert near < spam.OUTLIER < far
 
 
 @pytest.mark.parametrize("with_labels", [True, False])
