@@ -239,6 +239,7 @@ MIN_LABELS = 30
 DEFAULT_CUT = 0.45
 _FLOOR = 0.03
 #: How many words make one independent observation of each feature: a window for those of function words.
+_FORCED = np.isin(FEATURES, ["strung", "content", "unstopped"])
 _SPAN = np.array([WINDOW, WINDOW, 1, 1, 1, 1, 1, 1, 1], float)
 
 
@@ -325,23 +326,23 @@ def fit_direction(feats: DataFrame, labels: DataFrame, figures: dict[str, tuple[
 
 
 def deviations(x: np.ndarray, words: np.ndarray, centre: np.ndarray, covariance: np.ndarray, lengths: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Deviations of texts of so many words and their squared Mahalanobis distances, with the sampling variance of each length.
+    """Deviations from the centre of texts of so many words, and their squared Mahalanobis distances with the sampling variance of each length.
 
-    Texts shorter than a window deviate from the median of their length: their shares have few values, some of them by necessity.
+    In the distance, the function words and sentence ends of texts shorter than a window deviate from the median of their length: it forces these shares.
     """
     n = np.maximum(words, 1)
     zero = np.zeros(len(FEATURES))
     of = [lengths.get(p, (zero, zero)) for p in np.floor(np.log2(n)).astype(int).tolist()]
     median, variance = (np.array([f[k] for f in of]).reshape(-1, len(FEATURES)) for k in (0, 1))
     short = (n < WINDOW)[:, None]
-    off = x - np.where(short, median, centre)
+    d_all = x - np.where(short & _FORCED, median, centre)
     variance = np.where(short & (_SPAN > 1), 0.25, variance) * _SPAN / n[:, None]
-    out = np.empty(len(off))
-    for s in range(0, len(off), 4096):
+    out = np.empty(len(x))
+    for s in range(0, len(x), 4096):
         each = covariance[None] + variance[s : s + 4096, :, None] * np.eye(len(FEATURES))[None]
-        d = off[s : s + 4096]
+        d = d_all[s : s + 4096]
         out[s : s + 4096] = np.einsum("ij,ij->i", d, np.linalg.solve(each, d[:, :, None])[:, :, 0])
-    return off, out
+    return x - centre, out
 
 
 def score_pages(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
