@@ -133,10 +133,23 @@ def test_components_empty(spark):
     assert rows(connected_components(spark.createDataFrame([], "a bigint, b bigint"))) == []
 
 
-def test_bare_words_do_not_crowd_out_known_values(spark):
-    fields = ['"upper town, orvelle"'] * 3 + ["upper town, orvelle"] + [w for w in ("slate", "marble", "granite", "onyx") for _ in range(9)]
+@pytest.mark.parametrize("max_entries", [1000, 1])
+def test_known_values_are_kept_whole_by_broadcast_or_join(spark, max_entries):
+    """Fields that only the cover can solve: a known value with a delimiter stands bare among others."""
+    fields = ['"upper town, orvelle"'] * 3 + ["upper town, orvelle", "slate; Upper town, Orvelle; wet", "upper town; orvelle", 'x, "upper town, orvelle"']
+    fields += [w for w in ("slate", "marble", "granite", "onyx") for _ in range(9)] + ['"marble, onyx"'] * 3 + ["marble, onyx", None, "", "  "]
     df = spark.createDataFrame(list(enumerate(fields)), "id int, text string")
-    got = rows(packed.split_packed(df, "id", "text", max_entries=1).where("id = 3"))
-    assert got == [(3, 1, "upper town, orvelle")]
-    with pytest.raises(ValueError):
-        packed.value_dictionary(df, "text", max_entries=0)
+    got = {}
+    for i, pos, word in rows(packed.split_packed(df, "id", "text", max_entries=max_entries)):
+        got.setdefault(i, []).append((pos, word))
+    words = {i: [w for _, w in sorted(v)] for i, v in got.items()}
+    assert words[3] == ["upper town, orvelle"] and words[4] == ["slate", "Upper town, Orvelle", "wet"]
+    assert words[5] == ["upper town", "orvelle"] and words[6] == ["x", "upper town, orvelle"]
+    assert words[len(fields) - 4] == ["marble", "onyx"] and not {len(fields) - k for k in (1, 2, 3)} & set(words)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab ,;|\n•x", max_size=14))
+def test_pieces_of_plain_fields_equal_the_scanner(text):
+    assert [(v, c) for v, _, c in packed.pieces(text)] == [(v, c) for v, _, c in packed.atoms(text)]
+    assert packed.Segmenter([]).split(text) == [v for v, *_ in packed.atoms(text) if v]

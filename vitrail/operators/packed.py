@@ -1,18 +1,19 @@
 """Several values packed in one text field, split into one row per value with its position.
 
 Splitting is dictionary-guided. A first pass over all fields counts whole values that are certain: pieces that
-are quoted, escaped or listed, and pieces without any delimiter. The frequent ones that hold a delimiter, and their frequent parts, make the dictionary; more
-than ``max_entries``, the bound of the broadcast, are an error. A second pass runs a multi-pattern automaton over every field
-to find the known values, and dynamic programming chooses the cover of the field with the fewest unknown
-pieces and, of these, the most pieces. So a delimiter inside a known value is kept when its parts are
-no values of their own, and a field of known parts is split at each delimiter.
+are quoted, escaped or listed, and pieces between delimiters. The frequent ones make the dictionary, with their counts. A second pass runs a multi-pattern
+automaton of the known values over every field of several unprotected pieces, and dynamic programming chooses, of the covers of the field by
+known values and unknown pieces, the one of fewest unknown and then of fewest pieces. A known value across delimiters may be a piece if it is known better
+than the least known of its parts; else its delimiters separate, as they do for a field of known parts.
+
+A dictionary of more than ``max_entries`` isn't broadcast: then the fields' possible pieces meet the dictionary in a join, and the same programme chooses.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ DELIMITERS = ",;|\n\r\t•·、；，"
 QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»", "‘": "’"}
 _DELIMITER_SET = frozenset(DELIMITERS)
 _DELIMITER = re.compile(f"[{re.escape(DELIMITERS)}]")
+#: What a field without any of these is split at needs no look at each character.
+_PROTECTS = re.compile(f"[{re.escape(''.join(QUOTES))}{re.escape(chr(92))}\\[]")
 _ESCAPABLE = _DELIMITER_SET | frozenset("\\\"'“”[]")
 
 
@@ -92,45 +95,91 @@ def atoms(text: str) -> list[tuple[str, str, bool]]:
     return out
 
 
+def pieces(text: str) -> list[tuple[str, str, bool]]:
+    """``atoms``; a field without quotes, escapes and list brackets is cut by one regular expression."""
+    if _PROTECTS.search(text):
+        return atoms(text)
+    text = text.strip()
+    ends = [m.end() for m in _DELIMITER.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    out, begin = [], 0
+    for end in ends:
+        raw = text[begin:end]
+        out.append((raw.rstrip(DELIMITERS).strip() if raw[-1:] in _DELIMITER_SET else raw.strip(), raw, False))
+        begin = end
+    return out if text else []
+
+
 def certain_values(text: str) -> list[str]:
-    """Folded values of a field that are surely whole: protected pieces, and all pieces if no delimiter is doubtful."""
-    found = atoms(text)
-    if len(found) == 1:
-        return [found[0][0].lower()] if found[0][0] else []
-    # A bare piece between delimiters is evidence for a part, as it is for itself.
-    return [v.lower() for v, _, _ in found if v]
+    """Folded values of a field as evidence for the dictionary: protected pieces, and bare pieces between delimiters for themselves."""
+    return [v.lower() for v, _, _ in pieces(text) if v]
+
+
+def best_cover(parts: list[tuple[str, str, bool]], spans: Iterable[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(first, last) of the pieces of the best cover of ``parts``: fewest unknown pieces, then fewest pieces, then those that begin latest.
+
+    ``spans`` (first, last, count) are the known values among the runs of parts that aren't protected; parts that no span names are unknown.
+    """
+    count = {(a, b): n for a, b, n in spans}
+    longer: dict[int, list[int]] = {}
+    for (a, b), n in count.items():
+        if b > a and n > min(count.get((k, k), 0) for k in range(a, b + 1) if parts[k][0]):
+            longer.setdefault(b, []).append(a)
+    best: list[tuple[int, int, int]] = [(0, 0, 0)]  # unknown pieces, pieces, the part less one that the last piece begins with
+    for k, (value, _, certain) in enumerate(parts):
+        unknown, n, _ = best[k]
+        options = [(unknown + bool(value and not certain and (k, k) not in count), n + bool(value), -k)]
+        options += [(best[a][0], best[a][1] + 1, -a) for a in longer.get(k, ())]
+        best.append(min(options))
+    out, k = [], len(parts)
+    while k:
+        a = -best[k][2]
+        out.append((a, k - 1))
+        k = a
+    return out[::-1]
+
+
+def covered(parts: list[tuple[str, str, bool]], spans: Iterable[tuple[int, int, int]]) -> list[str]:
+    """The values of the best cover, in order."""
+    out = []
+    for a, b in best_cover(parts, spans):
+        value = parts[a][0] if a == b else "".join(raw for _, raw, _ in parts[a : b + 1]).strip().strip(DELIMITERS).strip()
+        if value:
+            out.append(value)
+    return out
 
 
 class Segmenter:
-    """Splits fields with a dictionary of folded whole values."""
+    """Splits fields with a dictionary of folded whole values, and their counts where it has them."""
 
-    def __init__(self, values: list[str]):
-        self.known = frozenset(values)
-        inner = [v for v in values if any(c in _DELIMITER_SET for c in v)]
+    def __init__(self, values: dict[str, int] | Iterable[str]):
+        self.known = dict(values) if isinstance(values, dict) else dict.fromkeys(values, 1)
         self.automaton = None
-        if inner:
+        if any(c in _DELIMITER_SET for v in self.known for c in v):
             import ahocorasick
 
             self.automaton = ahocorasick.Automaton()
-            for v in inner:
-                self.automaton.add_word(v, len(v))
+            for v, n in self.known.items():
+                self.automaton.add_word(v, (len(v), n))
             self.automaton.make_automaton()
 
     def split(self, text: str | None) -> list[str]:
         """The values of a field, in order; none for a null, empty or blank field."""
         if not text:
             return []
-        parts = atoms(text)
-        if self.automaton is not None and sum(not p[2] for p in parts) > 1 and len(parts) > 1:
-            parts = self._joined(parts)
-        return [v for v, *_ in parts if v]
+        parts = pieces(text)
+        # One piece, or none but protected ones, has one cover; so has every field if no known value holds a delimiter.
+        if self.automaton is None or sum(not p[2] for p in parts) < 2:
+            return [v for v, *_ in parts if v]
+        return covered(parts, self._spans(parts))
 
-    def _joined(self, parts: list[tuple[str, str, bool]]) -> list[tuple[str, str, bool]]:
-        """Neighbouring bare pieces joined where a known value spans them and that leaves fewer unknown pieces."""
+    def _spans(self, parts: list[tuple[str, str, bool]]) -> list[tuple[int, int, int]]:
+        """The known values that the automaton finds from the start of a part to the end of a part, with no protected part among them."""
         text = "".join(raw for _, raw, _ in parts)
         folded = text.lower()
-        if len(folded) != len(text):  # a letter that grows when folded; places would not agree
-            return parts
+        if len(folded) != len(text):  # a letter that grows when folded: each is folded alone, and those that grow stay
+            folded = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         starts, ends, at = {}, {}, 0
         for k, (value, raw, certain) in enumerate(parts):
             if not certain and value:
@@ -138,33 +187,23 @@ class Segmenter:
                 starts[at + lead] = k
                 ends[at + lead + len(value)] = k
             at += len(raw)
-        spans: dict[int, list[int]] = {}
-        for last, length in self.automaton.iter(folded):
-            a, b = starts.get(last + 1 - length), ends.get(last + 1)
-            if a is not None and b is not None and b > a and not any(p[2] for p in parts[a : b + 1]):
-                spans.setdefault(b, []).append(a)
-        if not spans:
-            return parts
-        place = {k: s for s, k in starts.items()}
-        stop = {k: e for e, k in ends.items()}
-        best: list[tuple[int, int, int]] = [(0, 0, -1)]  # unknown pieces, less pieces, start of the last piece
-        for k, (value, _, certain) in enumerate(parts):
-            unknown, fewer, _ = best[k]
-            options = [(unknown + bool(value and not certain and value.lower() not in self.known), fewer - bool(value), k)]
-            options += [(best[a][0], best[a][1] - 1, a) for a in spans.get(k, ())]
-            best.append(min(options))
-        out, k = [], len(parts)
-        while k:
-            a = best[k][2]
-            out.append(parts[a] if a == k - 1 else (text[place[a] : stop[k - 1]], "", True))
-            k = a
-        return out[::-1]
-
-
-def value_dictionary(df: DataFrame, column: str, min_count: int = 3, max_entries: int = 50_000) -> list[str]:
-    """Folded values with a delimiter that occur at least ``min_count`` times as certain pieces, and those of their parts that do; no others bear on a split.
-
-    More than ``max_entries`` raise a ValueError. Counted over all rows; values are pre-counted in each batch before they are shuffled.
+        sure = [0]
+        for p in parts:
+            sure.append(sure[-1] + p[2])
+        found = []
+        for last, (length, n) in self.automaton.iter(folded):
+            b = ends.get(last + 1)
+            if b is not None:
+                a = starts.get(last + 1 - length)
+                if a is not None and a <= b and sure[a] == sure[b + 1]:
+                    found.append((a, b, n))
+        return found
+
+
+def known_values(df: DataFrame, column: str, min_count: int = 3) -> DataFrame:
+    """(value, n): folded values that occur at least ``min_count`` times as certain pieces, written to the checkpoint folder.
+
+    Counted over all rows; values are pre-counted in each batch before they are shuffled.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,40 +215,77 @@ def value_dictionary(df: DataFrame, column: str, min_count: int = 3, max_entries
             yield pa.RecordBatch.from_pydict({"value": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
     counted = df.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).mapInArrow(count, "value string, n bigint")
-    frequent = cut(counted.groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("value"))
-    compounds = [r[0] for r in frequent.where(F.translate("value", DELIMITERS, "") != F.col("value")).limit(max_entries + 1).collect()]
-    if not compounds:
-        return []
-    pieces = {p.strip() for v in compounds for p in _DELIMITER.split(v)} - {""}
-    known = []
-    if pieces and len(compounds) <= max_entries:
-        parts = df.sparkSession.createDataFrame([(p,) for p in sorted(pieces)], "value string")
-        known = [r[0] for r in frequent.join(F.broadcast(parts), "value", "left_semi").limit(max_entries + 1).collect()]
-    if len(compounds) + len(known) > max_entries:
-        raise ValueError(f"more than {max_entries} known values with delimiters and parts of them")
-    return sorted([*compounds, *known])
-
-
-def split_packed(df: DataFrame, id_column: str, column: str, min_count: int = 3, max_entries: int = 50_000) -> DataFrame:
+    return cut(counted.groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count))
+
+
+def _rows(split, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row (_id, pos, keyword) for each value that ``split`` makes of each row, given by its number."""
+    rows, pos, words = [], [], []
+    for k in range(batch.num_rows):
+        values = split(k)
+        rows += [k] * len(values)
+        pos += range(1, len(values) + 1)
+        words += values
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pos, pa.int32()), pa.array(words, pa.string())], ["_id", "pos", "keyword"])
+
+
+def _by_join(slim: DataFrame, known: DataFrame, schema: str) -> DataFrame:
+    """The split of (_id, _text) by a dictionary too large to broadcast.
+
+    Every distinct text gives its possible pieces, runs of as many parts as any known value has at most; these meet the dictionary in a join, come
+    together by text again, and the cover is chosen from them.
+    """
+    inner = known.select((F.length("value") - F.length(F.translate("value", DELIMITERS, ""))).alias("n")).agg(F.max("n")).first()[0] or 0
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, first, last, values = [], [], [], []
+            for text in batch.column(0).to_pylist():
+                parts = pieces(text) if text else []
+                if sum(not p[2] for p in parts) < 2:
+                    continue
+                for a in range(len(parts)):
+                    run = ""
+                    for b in range(a, min(len(parts), a + inner + 1)):
+                        if parts[b][2]:
+                            break
+                        run += parts[b][1]
+                        if parts[a][0] and parts[b][0]:
+                            texts.append(text), first.append(a), last.append(b)
+                            values.append(parts[a][0].lower() if a == b else run.strip().rstrip(DELIMITERS).strip().lower())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(values, pa.string())], ["_text", "a", "b", "value"])
+
+    spans = slim.select("_text").distinct().mapInArrow(candidates, "_text string, a int, b int, value string").join(known, "value")
+    grouped = spans.groupBy("_text").agg(F.collect_list(F.struct("a", "b", "n")).alias("spans"))
+    with_spans = slim.join(grouped, "_text", "left").select("_id", "_text", "spans")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            yield _rows(lambda k: covered(pieces(texts[k]), [(x["a"], x["b"], x["n"]) for x in found[k] or ()]) if texts[k] else [], batch)
+
+    return with_spans.mapInArrow(split, schema)
+
+
+def split_packed(df: DataFrame, id_column: str, column: str, min_count: int = 3, max_entries: int = 200_000) -> DataFrame:
     """(id_column, pos int, keyword string): one row per value of the packed field, pos from 1 in field order.
 
     Null, empty, blank and empty-list fields give no row. Empty pieces take no place. Rows with a repeated or null id are split each
-    for themselves; repeated values are kept. Other columns of ``df`` don't matter. An empty table gives an empty result.
+    for themselves; repeated values are kept. Other columns of ``df`` don't matter. An empty table gives an empty result. The dictionary is broadcast if it has no
+    more than ``max_entries``, else joined, with the same result.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(value_dictionary(df, column, min_count, max_entries))
+    known = known_values(df, column, min_count)
     slim = df.select(F.col(id_column).alias("_id"), F.col(column).cast("string").alias("_text")).where(F.col("_text").isNotNull())
-    id_type = slim.schema["_id"].dataType.simpleString()
+    schema = f"_id {slim.schema['_id'].dataType.simpleString()}, pos int, keyword string"
+    listed = known.limit(max_entries + 1).toArrow()
+    if listed.num_rows > max_entries:
+        return _by_join(slim, known, schema).withColumnRenamed("_id", id_column)
+    shared = df.sparkSession.sparkContext.broadcast(dict(zip(listed.column("value").to_pylist(), listed.column("n").to_pylist())))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(shared.value)
         for batch in batches:
-            rows, pos, words = [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                values = segmenter.split(text)
-                rows += [k] * len(values)
-                pos += range(1, len(values) + 1)
-                words += values
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pos, pa.int32()), pa.array(words, pa.string())], ["_id", "pos", "keyword"])
-
-    return slim.mapInArrow(split, f"_id {id_type}, pos int, keyword string").withColumnRenamed("_id", id_column)
+            texts = batch.column(1).to_pylist()
+            yield _rows(lambda k: segmenter.split(texts[k]), batch)
+
+    return slim.mapInArrow(split, schema).withColumnRenamed("_id", id_column)
