@@ -51,22 +51,27 @@ def _prepared(ref: Reference) -> DataFrame:
     )
 
 
+def _split_orphans(ref: Reference, heavy_share: int) -> tuple[DataFrame, DataFrame]:
+    """(_key, period_ym, n_references) without a target: those of heavy keys, which have at most ``heavy_share`` keys, and the others."""
+    counted = _prepared(ref).groupBy("_key", "period_ym").agg(F.count(F.lit(1)).alias("n_references"))
+    per_key = counted.groupBy("_key").agg(F.sum("n_references").alias("_n"))
+    total = per_key.agg(F.sum("_n").alias("_total"))
+    heavy = per_key.where(F.col("_n") * heavy_share > total.scalar()).select("_key")
+    # Distinct, so that a much repeated target is one row before it crosses the network.
+    targets = ref.targets.select(ref.target_key.alias("_key")).where(F.col("_key").isNotNull()).distinct()
+    heavy_present = targets.join(F.broadcast(heavy), "_key", "left_semi")
+    hot = counted.join(F.broadcast(heavy), "_key", "left_semi").join(F.broadcast(heavy_present), "_key", "left_anti")
+    return hot, counted.join(F.broadcast(heavy), "_key", "left_anti").join(targets, "_key", "left_anti")
+
+
 def orphan_keys(ref: Reference, heavy_share: int = HEAVY_SHARE) -> DataFrame:
     """(_key, period_ym, n_references) of the references without a target.
 
     Null and blank references are no case; a null period is a period of its own. Rows that are repeated count
     each in ``n_references``. Without targets every reference is an orphan; without references the result is empty.
     """
-    counted = _prepared(ref).groupBy("_key", "period_ym").agg(F.count(F.lit(1)).alias("n_references"))
-    per_key = counted.groupBy("_key").agg(F.sum("n_references").alias("_n"))
-    total = per_key.agg(F.sum("_n").alias("_total"))
-    heavy = per_key.where(F.col("_n") * heavy_share > total.scalar()).select("_key")
-    targets = ref.targets.select(ref.target_key.alias("_key")).where(F.col("_key").isNotNull())
-    # The targets that match a heavy key are at most heavy_share distinct keys, found without shuffling the targets.
-    heavy_present = targets.join(F.broadcast(heavy), "_key", "left_semi").distinct()
-    heavy_orphans = counted.join(F.broadcast(heavy), "_key", "left_semi").join(F.broadcast(heavy_present), "_key", "left_anti")
-    rest = counted.join(F.broadcast(heavy), "_key", "left_anti").join(targets, "_key", "left_anti")
-    return heavy_orphans.unionByName(rest)
+    hot, cold = _split_orphans(ref, heavy_share)
+    return hot.unionByName(cold)
 
 
 def orphan_counts(refs: list[Reference], heavy_share: int = HEAVY_SHARE) -> DataFrame:
@@ -86,19 +91,14 @@ def orphan_counts(refs: list[Reference], heavy_share: int = HEAVY_SHARE) -> Data
 def orphan_records(refs: list[Reference], heavy_share: int = HEAVY_SHARE) -> DataFrame:
     """(table_name, record_key, period_ym), distinct: the records whose reference has no target.
 
-    The referring records are reduced to distinct rows before they meet a target, heavy keys are checked by
-    broadcast and the others by one anti join. A record with a null name comes out as a null ``record_key``.
+    The orphan keys come from the references counted per key and period, as in ``orphan_counts``; the records are then looked up by them, those of heavy keys
+    by broadcast, where a hot key needs no task of its own. A record with a null name comes out as a null ``record_key``.
     """
     out = None
     for ref in refs:
-        rows = _prepared(ref).distinct()
-        per_key = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-        total = per_key.agg(F.sum("_n").alias("_total"))
-        heavy = per_key.where(F.col("_n") * heavy_share > total.scalar()).select("_key")
-        targets = ref.targets.select(ref.target_key.alias("_key")).where(F.col("_key").isNotNull())
-        heavy_present = targets.join(F.broadcast(heavy), "_key", "left_semi").distinct()
-        hot = rows.join(F.broadcast(heavy), "_key", "left_semi").join(F.broadcast(heavy_present), "_key", "left_anti")
-        cold = rows.join(F.broadcast(heavy), "_key", "left_anti").join(targets, "_key", "left_anti")
-        part = hot.unionByName(cold).select(F.lit(ref.table_name).alias("table_name"), "record_key", "period_ym").distinct()
+        hot, cold = (part.select("_key").distinct() for part in _split_orphans(ref, heavy_share))
+        rows = _prepared(ref)
+        found = rows.join(F.broadcast(hot), "_key", "left_semi").unionByName(rows.join(cold, "_key", "left_semi"))
+        part = found.select(F.lit(ref.table_name).alias("table_name"), "record_key", "period_ym").distinct()
         out = part if out is None else out.unionByName(part)
     return out

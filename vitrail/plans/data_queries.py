@@ -61,4 +61,17 @@ ORACLE = {
     "p4_found": _REFS + "SELECT DISTINCT table_name, record_key, period_ym FROM orphan",
     "p4_orphan_counts": _REFS
     + "SELECT table_name, period_ym, count(*) AS n_references, count(DISTINCT k) AS n_keys FROM orphan GROUP BY table_name, period_ym",
+    "p5_found": r"""
+WITH f AS (SELECT row_id, trim(keywords, ' ' || chr(9) || chr(10) || chr(13)) AS k FROM images WHERE keywords IS NOT NULL),
+u AS (SELECT row_id, k LIKE '[%]' AS listed, CASE WHEN k LIKE '[%]' THEN k[2:-2] ELSE k END || ',' AS k FROM f),
+t AS (SELECT row_id, listed, generate_subscripts(l, 1) AS place, unnest(l) AS raw FROM (
+  SELECT row_id, listed, regexp_extract_all(k, '[ ]*(?:"(?:\\.|""|[^"\\])*"[ ]*|“[^”]*”[ ]*|„[^“]*“[ ]*|«[^»]*»[ ]*|‘[^’]*’[ ]*|''(?:\\.|''''|[^''\\])*''[ ]*|(?:\\.|[^,;|\n\r\t•·、；，\\])*)[,;|\n\r\t•·、；，]') AS l FROM u)),
+p AS (SELECT row_id, place, trim(raw[:-2]) AS v FROM t),
+c AS (SELECT row_id, place, CASE
+    WHEN regexp_full_match(v, '(?s)".*"') AND length(v) > 1 THEN trim(replace(regexp_replace(v[2:-2], '\\([,;|\n\r\t•·、；，\\"''“”\[\]])', '\1', 'g'), '""', '"'))
+    WHEN regexp_full_match(v, '(?s)''.*''') AND length(v) > 1 THEN trim(replace(regexp_replace(v[2:-2], '\\([,;|\n\r\t•·、；，\\"''“”\[\]])', '\1', 'g'), '''''', ''''))
+    WHEN regexp_full_match(v, '(?s)(“.*”|„.*“|«.*»|‘.*’)') THEN trim(v[2:-2])
+    ELSE trim(regexp_replace(v, '\\([,;|\n\r\t•·、；，\\"''“”\[\]])', '\1', 'g')) END AS keyword FROM p)
+SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY place)::INTEGER AS pos, keyword FROM c WHERE keyword <> ''
+""",
 }
