@@ -9,6 +9,7 @@ from tests.conftest import rows
 from vitrail.functions.score import SimilaritySettings
 from vitrail.operators import catalog, collections, hybrid, profile, search, topk, verify
 from vitrail.sources import settings, snapshot
+from vitrail.streaming import changes
 
 IMAGE = "path string, root string, size bigint, modified bigint, last_seen_scan bigint, material_texture array<float>, material_texture_version int, embedding array<float>, embedding_normalized boolean, content_fingerprint bigint, description string"
 
@@ -226,6 +227,47 @@ def test_approximate_index(spark, tmp_path):
     assert topk.index_state(folder, {"n_rows": 0}) == "empty_current"
 
 
+def test_index_is_rebuilt_when_rows_change(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i % 7 - 3), float(i % 5 - 2), 1.0]) for i in range(20)], "id int, v array<float>")
+    states = []
+    for table in (df, df, df.where("id < 19"), df.where("id < 19")):
+        index = topk.ApproximateIndex()
+        points, state = index.prepare(table, "id", "v", str(tmp_path))
+        states.append(state)
+        assert index.search(points, [0.0, 0.0, 1.0], 1).count() == 1
+    assert states == ["missing", "current", "stale", "current"]
+
+
+def test_snapshot_without_pointer_is_an_error(spark, tmp_path):
+    """As a crash between deletion and renaming of the pointer would leave it."""
+    folder = str(tmp_path)
+    snapshot.write_snapshot(spark.range(3).toDF("id"), folder)
+    snapshot.write_snapshot(spark.range(4).toDF("id"), folder)
+    assert snapshot.read_snapshot(spark, folder).count() == 4
+    (tmp_path / snapshot.POINTER).unlink()
+    with pytest.raises(FileNotFoundError):
+        snapshot.read_snapshot(spark, folder, spark.range(1).schema)
+    with pytest.raises(FileNotFoundError):
+        snapshot.drop_old_versions(spark, folder, keep=0)
+
+
+def test_reconciler(spark):
+    done, busy = [], [False]
+    r = changes.Reconciler(lambda batch, n: done.append((n, batch.count())), lambda: done.append("rescan"), lambda: busy[0])
+    batch = lambda *kinds: spark.createDataFrame([(k, f"p{n}") for n, k in enumerate(kinds)], "kind string, path string")
+    r(batch("create"), 0)
+    busy[0] = True
+    r(batch("create", "remove"), 1)
+    r(batch("modify"), 2)
+    assert done == [(0, 1)] and r.drain() == "waiting"
+    busy[0] = False
+    assert r.drain() == "applied" and done == [(0, 1), (1, 2), (2, 1)]
+    r(batch("Error"), 3)
+    assert done[-1] == "rescan" and len(done) == 4
+    r(batch("create"), 4)
+    assert done[-1] == (4, 1)
+
+
 def test_visible_and_pages(spark):
     df = spark.createDataFrame([(1, "b.png", "B", "x stone", None, (250, 0, 0)), (2, "A.png", "a", None, "stone", (0, 0, 250)), (3, "c.png", "c", "", "", (250, 0, 0))], "row_id int, file_name string, path string, description string, keywords string, dominant struct<r:int,g:int,b:int>")
     assert rows(search.visible(df, query="STONE", color=(255, 0, 0)), "row_id") == [(1,)]

@@ -153,6 +153,12 @@ def test_fnv(spark):
     df = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(data)], "i int, b binary")
     got = [r[0] for r in df.orderBy("i").select(hashing.fnv1a_binary("b")).collect()]
     assert got == [hashing.signed(hashing.fnv1a(b)) for b in data[:4]] + [None]
+    for n in (511, 512, 700, 65_536, 65_537, 140_000):
+        long = bytes((k * k + 7 * k + n) % 251 for k in range(n))
+        h = 99
+        for c in long:
+            h = ((h ^ c) * hashing.PRIME) & hashing.MASK
+        assert hashing.fnv1a(long, 99) == h
     a, b = (one(spark, hashing.face_id(F.lit(p), F.lit("d"), F.lit("1"), F.lit("r"), F.lit(2), F.lit(0))) for p in ("A\\b.png", "a/B.PNG"))
     assert a == b and len(a) == 21
 
@@ -164,6 +170,43 @@ def test_table_signature(spark):
     s = [rows(hashing.table_signature(x, "i", "v")) for x in (a, b, c)]
     assert s[0] == s[1] != s[2]
     assert rows(hashing.table_signature(a.limit(0), "i", "v")) == [(0, 0, 0)]
+    x = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (2, [2.0])], "i int, v array<float>")
+    y = spark.createDataFrame([(7, [7.0]), (7, [7.0]), (2, [2.0])], "i int, v array<float>")
+    assert rows(hashing.table_signature(x, "i", "v")) != rows(hashing.table_signature(y, "i", "v"))
+    assert rows(hashing.table_signature(x.union(x), "i", "v")) != rows(hashing.table_signature(y.union(y), "i", "v"))
+
+
+FAILURES = {
+    "Format error decoding Jpeg: bad marker": "invalid_jpeg",
+    "Format error decoding Jpeg: Error parsing image. Illegal start bytes:3842": "invalid_jpeg",
+    "a JPEG with a format error": "invalid_jpeg",
+    "unexpected end of file": "truncated",
+    "unexpected end": "truncated",
+    "Unexpected EOF": "truncated",
+    "the image is truncated and unsupported": "truncated",
+    "unsupported color": "unsupported",
+    "Permission denied (13)": "access",
+    "Access is denied.": "access",
+    "something else": "other",
+}
+
+
+def test_failure_classes(spark):
+    df = spark.createDataFrame(list(FAILURES.items()), "m string, c string")
+    assert df.where(text.failure_class(F.col("m")) != F.col("c")).collect() == []
+    assert one(spark, text.failure_class(F.lit(None).cast("string"))) == "other"
+
+
+def test_vectors_that_must_fit(spark):
+    good = spark.createDataFrame([(bytearray(b"\0\0\x80?"), 1), (None, 0)], "b binary, n int")
+    assert {r[0] and tuple(r[0]) for r in good.select(vector.decode_or_fail(F.col("b"), F.col("n"))).collect()} == {(1.0,), None}
+    with pytest.raises(Exception, match="corrupt"):
+        rows(spark.createDataFrame([(bytearray(b"\0\0\x80"), 1)], "b binary, n int").select(vector.decode_or_fail(F.col("b"), F.col("n"))))
+    pair = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
+    assert rows(pair.select(vector.unit_cosine(F.col("a"), F.col("b")))) == [(1.0,)]
+    for a, b in (([1.0], [1.0, 0.0]), ([], []), ([float("nan")], [1.0])):
+        with pytest.raises(Exception, match="vectors must be"):
+            rows(spark.createDataFrame([(a, b)], "a array<float>, b array<float>").select(vector.unit_cosine(F.col("a"), F.col("b"))))
 
 
 def test_ratio(spark):

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The supported extensions.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "tif", "tiff")
-# What a decoder's message must contain to fall into a class, in order of precedence.
+# The classes of decode failures in order of precedence, and the phrases of which one is in the message; those joined by "&" must all be.
 FAILURE_CLASSES = [
-    ("invalid_jpeg", ("invalid jpeg", "jpeg format", "illegal start bytes")),
-    ("truncated", ("unexpected eof", "truncated", "failed to fill whole buffer", "premature end")),
-    ("unsupported", ("unsupported", "unrecognized", "not be determined")),
-    ("access", ("permission denied", "access is denied", "being used by another process")),
+    ("invalid_jpeg", ("illegal start bytes", "format error decoding jpeg", "jpeg & format error")),
+    ("truncated", ("unexpected eof", "unexpected end", "end of file", "truncated")),
+    ("unsupported", ("unsupported",)),
+    ("access", ("permission denied", "access is denied")),
 ]
 
 
@@ -202,8 +202,9 @@ def truncate_middle(c: Column, most: int) -> Column:
 
 def failure_class(message: Column) -> Column:
     """The class of a decode failure, by what its message contains."""
-    m = F.lower(message)
+    m = nocase(message)
+    has = lambda phrase: reduce(lambda a, b: a & b, [F.contains(m, F.lit(p)) for p in phrase.split(" & ")])
     out = F.lit("other")
-    for name, parts in reversed(FAILURE_CLASSES):
-        out = F.when(reduce(lambda a, b: a | b, [F.contains(m, F.lit(p)) for p in parts]), F.lit(name)).otherwise(out)
+    for name, phrases in reversed(FAILURE_CLASSES):
+        out = F.when(reduce(lambda a, b: a | b, [has(p) for p in phrases]), F.lit(name)).otherwise(out)
     return out

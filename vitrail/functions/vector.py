@@ -29,6 +29,13 @@ def dot_literal(a: Column, query: list[float]) -> Column:
     return dot(a, F.array(*[F.lit(float(x)) for x in query]))
 
 
+def unit_cosine(a: Column, b: Column) -> Column:
+    """The cosine of two unit vectors within [-1, 1], null if either is null; empty, unequal or not finite vectors raise an error when the row is read."""
+    fine = (F.size(a) > 0) & (F.size(a) == F.size(b)) & all_finite(a) & all_finite(b)
+    cosine = F.least(F.greatest(dot(a, b), F.lit(-1.0)), F.lit(1.0))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(fine, cosine).otherwise(F.raise_error("vectors must be finite, not empty and of equal length").cast("double"))
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
 
@@ -84,6 +91,12 @@ def encode_floats(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
+def decode_or_fail(data: Column, dimension: Column) -> Column:
+    """Decoded floats of one stored vector, null for null; a number of bytes that doesn't fit ``dimension`` raises an error when the row is read."""
+    broken = data.isNotNull() & ~F.coalesce(valid_dimension(F.octet_length(data), dimension), F.lit(False))
+    return F.when(broken, F.raise_error("the stored vector is corrupt").cast("array<float>")).otherwise(decode_floats(data))
+
+
 def decode_checked(data: Column, dimension: Column, strict: bool = False) -> Column:
     """Decoded floats, null if their number isn't ``dimension``; dimension 0 isn't checked unless ``strict``."""
     values = decode_floats(data)

@@ -191,8 +191,17 @@ def merge_embeddings(embeddings: DataFrame, results: DataFrame, faces: DataFrame
     return embeddings.join(good.select("face_id"), "face_id", "left_anti").unionByName(good, allowMissingColumns=True)
 
 
-def faces_of(faces: DataFrame, image_path: str) -> DataFrame:
-    return faces.where(F.col("image_path") == image_path).orderBy("face_ordinal")
+def agreeing(faces: DataFrame, state: DataFrame, images: DataFrame) -> DataFrame:
+    """Faces whose detection state and image agree with them, whatever their cache revision and with or without a vector; repeated rows of a face count once."""
+    columns = ["image_path", "detector_id", "detector_version", "schema_version", "source_size", "source_modified"]
+    files = images.select(F.col("path").alias("image_path"), F.col("size").alias("source_size"), F.col("modified").alias("source_modified")).distinct()
+    return faces.join(state.select(*columns).distinct(), columns, "left_semi").join(files, ["image_path", "source_size", "source_modified"], "left_semi").dropDuplicates(["face_id"])
+
+
+def faces_of(faces: DataFrame, state: DataFrame, images: DataFrame, image_path: str) -> DataFrame:
+    """(face_id, face_ordinal, confidence, bbox, landmarks) of one image's faces that still hold, by ordinal."""
+    one = agreeing(faces.where(F.col("image_path") == image_path), state.where(F.col("image_path") == image_path), images.where(F.col("path") == image_path))
+    return one.select("face_id", "face_ordinal", "confidence", "bbox", "landmarks").orderBy("face_ordinal", "face_id")
 
 
 def source_still_matches(faces: DataFrame, listing: DataFrame) -> DataFrame:

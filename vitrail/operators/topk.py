@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitrail.functions import vector
+from vitrail.functions import hashing, vector
 from vitrail.operators.ordering import row_numbers
+from vitrail.sources import snapshot
 
 # Fixed values of the candidate search: neighbours beyond k that are looked at.
 EXTRA_CANDIDATES = 512
@@ -70,12 +70,17 @@ class ApproximateIndex:
     def __init__(self, tables: int = 8, bucket: float = 0.7, seed: int = 11):
         self.tables, self.bucket, self.seed, self.model = tables, bucket, seed, None
 
-    def fit(self, df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-        from pyspark.ml.feature import BucketedRandomProjectionLSH
+    @staticmethod
+    def _points(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
         from pyspark.ml.functions import array_to_vector
 
         unit = df.where(F.col(vector_column).isNotNull() & (vector.norm(F.col(vector_column)) > vector.EPSILON))
-        points = unit.select(F.col(id_column).alias("id"), array_to_vector(vector.normalise(F.col(vector_column)).cast("array<double>")).alias("features"))
+        return unit.select(F.col(id_column).alias("id"), array_to_vector(vector.normalise(F.col(vector_column)).cast("array<double>")).alias("features"))
+
+    def fit(self, df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+        from pyspark.ml.feature import BucketedRandomProjectionLSH
+
+        points = self._points(df, id_column, vector_column)
         lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=self.bucket, numHashTables=self.tables, seed=self.seed)
         self.model = lsh.fit(points)
         return self.model.transform(points)
@@ -90,20 +95,35 @@ class ApproximateIndex:
         return near.select("id", F.round(similarity, 6).alias("similarity")).orderBy(F.col("similarity").desc(), "id").limit(k)
 
     def save(self, folder: str, signature: dict) -> None:
-        """The model and, renamed into place when complete, the manifest."""
-        self.model.write().overwrite().save(os.path.join(folder, "model"))
-        with open(os.path.join(folder, "manifest.tmp"), "w") as f:
-            json.dump(signature, f, sort_keys=True)
-        os.replace(os.path.join(folder, "manifest.tmp"), os.path.join(folder, "manifest.json"))
+        """The model and, renamed into place when complete, the manifest; both on the folder's own file system."""
+        self.model.write().overwrite().save(f"{folder}/model")
+        snapshot.put_text(SparkSession.active(), f"{folder}/manifest.json", json.dumps(signature, sort_keys=True))
+
+    def load(self, folder: str) -> None:
+        from pyspark.ml.feature import BucketedRandomProjectionLSHModel
+
+        self.model = BucketedRandomProjectionLSHModel.load(f"{folder}/model")
+
+    def prepare(self, df: DataFrame, id_column: str, vector_column: str, folder: str) -> tuple[DataFrame, str]:
+        """(index, state it was found in): the saved index if it is current, else a new one, which is saved. The signature is that of all ids and vectors."""
+        signature = hashing.table_signature(df, id_column, vector_column).first().asDict()
+        state = index_state(folder, signature)
+        if state == "current":
+            self.load(folder)
+            return self.model.transform(self._points(df, id_column, vector_column)), state
+        index = self.fit(df, id_column, vector_column)
+        self.save(folder, signature)
+        return index, state
 
 
 def index_state(folder: str, signature: dict) -> str:
     """current, empty_current, missing, stale or corrupt, by the manifest and the model's folder."""
-    try:
-        with open(os.path.join(folder, "manifest.json")) as f:
-            found = json.load(f)
-    except FileNotFoundError:
+    spark = SparkSession.active()
+    text = snapshot.get_text(spark, f"{folder}/manifest.json")
+    if text is None:
         return "missing"
+    try:
+        found = json.loads(text)
     except ValueError:
         return "corrupt"
     if not isinstance(found, dict) or "n_rows" not in found:
@@ -112,7 +132,7 @@ def index_state(folder: str, signature: dict) -> str:
         return "stale"
     if found["n_rows"] == 0:
         return "empty_current"
-    return "current" if os.path.isdir(os.path.join(folder, "model")) else "missing"
+    return "current" if snapshot.exists(spark, f"{folder}/model") else "missing"
 
 
 def even_sample(df: DataFrame, order: list[str], n: int, endpoints: bool = False) -> DataFrame:

@@ -13,8 +13,41 @@ POINTER = "_current.json"  # hidden from readers of the folder
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # Of a local disk without checksum files, so that a file replaced by hand can be read.
+    return (fs.getRaw() if fs.getScheme() == "file" else fs), jvm.org.apache.hadoop.fs.Path
+
+
+def put_text(spark: SparkSession, file: str, text: str) -> None:
+    """Writes a small file whole: readers see the old or the new one, and at no time none. Works on any Hadoop file system."""
+    fs, path = _fs(spark, file)
+    draft = path(f"{file}.{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    draft = fs.makeQualified(draft)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, fs.makeQualified(path(file)), options)
+
+
+def get_text(spark: SparkSession, file: str) -> str | None:
+    """The text of a small file, None if it doesn't exist."""
+    fs, path = _fs(spark, file)
+    if not fs.exists(path(file)):
+        return None
+    stream = fs.open(path(file))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def exists(spark: SparkSession, file: str) -> bool:
+    fs, path = _fs(spark, file)
+    return fs.exists(path(file))
 
 
 def write_snapshot(df: DataFrame, folder: str, partition_by: list[str] | None = None) -> str:
@@ -23,27 +56,19 @@ def write_snapshot(df: DataFrame, folder: str, partition_by: list[str] | None =
     version = uuid.uuid4().hex
     writer = df.write.mode("error")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{folder}/v-{version}")
-    fs, path = _fs(spark, folder)
-    draft = path(f"{folder}/{POINTER}.{version}")
-    out = fs.create(draft, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
-    out.close()
-    target = path(f"{folder}/{POINTER}")
-    fs.delete(target, False)
-    fs.rename(draft, target)
+    put_text(spark, f"{folder}/{POINTER}", json.dumps({"version": version}))
     return version
 
 
 def current_version(spark: SparkSession, folder: str) -> str | None:
+    """The version that the pointer names; None if nothing was ever written. Versions without a pointer are an error, no empty table."""
+    found = get_text(spark, f"{folder}/{POINTER}")
+    if found is not None:
+        return json.loads(found)["version"]
     fs, path = _fs(spark, folder)
-    target = path(f"{folder}/{POINTER}")
-    if not fs.exists(target):
-        return None
-    stream = fs.open(target)
-    try:
-        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["version"]
-    finally:
-        stream.close()
+    if fs.exists(path(folder)) and any(s.isDirectory() and s.getPath().getName().startswith("v-") for s in fs.listStatus(path(folder))):
+        raise FileNotFoundError(f"{folder} has versions but no pointer to one")
+    return None
 
 
 def read_snapshot(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrail.functions import text
 from vitrail.operators import catalog
+from vitrail.sources.tables import cut
 
 #: The quiet gap that ends a batch of changes.
 QUIET_GAP = "420 milliseconds"
@@ -61,6 +62,51 @@ def stream_into(events: DataFrame, checkpoint: str, apply: Callable[[DataFrame,
     return (writer.trigger(availableNow=True) if trigger_once else writer).start()
 
 
+class Reconciler:
+    """Applies batches of changes, and falls back to a whole rescan where the feed can't be trusted.
+
+    While ``busy()`` batches queue up, by their paths; the next batch or ``drain()`` applies what has queued when it is idle. A batch that reports a feed error (kind ``error``),
+    or a feed that failed (``failed``), asks for a rescan: ``rescan`` is called once idle, and what had queued is dropped, as the rescan sees it.
+    """
+
+    def __init__(self, apply: Callable[[DataFrame, int], None], rescan: Callable[[], None], busy: Callable[[], bool] = lambda: False):
+        self.apply, self.rescan, self.busy = apply, rescan, busy
+        self.queued: list[tuple[DataFrame, int]] = []
+        self.reasons: list[str] = []
+
+    def failed(self, reason: str) -> None:
+        self.reasons.append(reason)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if batch.where(text.nocase(F.col("kind")) == "error").limit(1).count():
+            self.failed("the feed reported an error")
+        # The batch outlives its micro-batch only as a written table.
+        self.queued.append((cut(batch), batch_id) if self.busy() else (batch, batch_id))
+        self.drain()
+
+    def drain(self) -> str:
+        """What was done: ``waiting``, ``rescanned`` or ``applied``."""
+        if self.busy():
+            return "waiting"
+        if self.reasons:
+            self.queued.clear()
+            self.rescan()
+            self.reasons.clear()
+            return "rescanned"
+        while self.queued:
+            self.apply(*self.queued[0])
+            self.queued.pop(0)
+        return "applied"
+
+    def watch(self, query) -> None:
+        """Waits for a streaming query; one that ends by an error asks for a rescan."""
+        try:
+            query.awaitTermination()
+        except Exception as e:  # noqa: BLE001 - whatever ended the feed, changes may have been missed
+            self.failed(f"the feed stopped: {type(e).__name__}")
+            self.drain()
+
+
 def once_per_batch(apply: Callable[[DataFrame, int], None], done: Callable[[], int], mark: Callable[[int], None]) -> Callable[[DataFrame, int], None]:
     """``apply`` that skips batches already done, as a restart may bring the last one again."""
 
