@@ -58,7 +58,8 @@ def phrase(token: str) -> str:
 
 
 def collapse_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Runs of white space, that of all scripts, as one blank; none at the ends."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def strip_markup(c: Column) -> Column:
@@ -180,11 +181,13 @@ def one_line(c: Column) -> Column:
 
 
 def format_bytes(c: Column) -> Column:
+    """With one digit, half to even, in the largest unit that fits."""
     n = c.cast("double")
+    shown = lambda power, unit: F.format_string(f"%.1f {unit}", F.bround(n / (1 << power), 1))
     return (
-        F.when(n >= 1 << 30, F.concat(F.format_number(n / (1 << 30), 1), F.lit(" GB")))
-        .when(n >= 1 << 20, F.concat(F.format_number(n / (1 << 20), 1), F.lit(" MB")))
-        .when(n >= 1 << 10, F.concat(F.format_number(n / (1 << 10), 1), F.lit(" KB")))
+        F.when(n >= 1 << 30, shown(30, "GB"))
+        .when(n >= 1 << 20, shown(20, "MB"))
+        .when(n >= 1 << 10, shown(10, "KB"))
         .otherwise(F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
     )
 

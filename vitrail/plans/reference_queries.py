@@ -483,26 +483,26 @@ def combined_visible_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?s)<a[^>]*>(.*?)</a>', 1),
   lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g'))), lambda x: x <> '') AS names
-FROM documents WHERE contains(text, '<a')
+FROM documents
 """)
 def markup_elements(spark: SparkSession, d: str) -> DataFrame:
     """The contents of all links."""
-    return read_table(spark, d, "documents").where(F.contains("text", F.lit("<a"))).select("doc_id", text.elements(F.col("text"), "a").alias("names"))
+    return read_table(spark, d, "documents").select("doc_id", text.elements(F.col("text"), "a").alias("names"))
 
 
-@query("""SELECT doc_id, nullif(regexp_extract(text, 'href="([^"]*)"', 1), '') AS target FROM documents WHERE contains(text, '<a')""")
+@query("""SELECT doc_id, nullif(regexp_extract(text, 'href="([^"]*)"', 1), '') AS target FROM documents""")
 def markup_attribute(spark: SparkSession, d: str) -> DataFrame:
     """The first link target."""
-    return read_table(spark, d, "documents").where(F.contains("text", F.lit("<a"))).select("doc_id", text.attribute(F.col("text"), "href").alias("target"))
+    return read_table(spark, d, "documents").select("doc_id", text.attribute(F.col("text"), "href").alias("target"))
 
 
-_STRIP = """trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({c}, '<[^>]*>', ' ', 'g'), '<[^>]*$', '', 'g'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g'))"""
+_STRIP = """trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({c}, '<[^>]*>', ' ', 'g'), '<[^>]*$', '', 'g'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '[\\s\\x0B\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"""
 
 
-@query(f"SELECT doc_id, md5({_STRIP.format(c='text')}) AS stripped FROM documents WHERE contains(text, '<a')")
+@query(f"SELECT doc_id, md5({_STRIP.format(c='text')}) AS stripped FROM documents")
 def markup_strip(spark: SparkSession, d: str) -> DataFrame:
     """Hashes of pages without their tags."""
-    return read_table(spark, d, "documents").where(F.contains("text", F.lit("<a"))).select("doc_id", F.md5(text.strip_markup(F.col("text")).cast("binary")).alias("stripped"))
+    return read_table(spark, d, "documents").select("doc_id", F.md5(text.strip_markup(F.col("text")).cast("binary")).alias("stripped"))
 
 
 @query("""
