@@ -77,6 +77,21 @@ def test_recall_with_anchors(spark, monkeypatch):
     assert len(got & want) >= 0.95 * len(want) and len(want) > 1000
 
 
+def test_anchors_in_groups(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = neighbours.normalised(np.array(clustered(4000, 24, 6)))
+    flat = neighbours.Anchors(x[:900].astype(np.float32))
+    monkeypatch.setattr(neighbours, "FLAT_ANCHORS", 100)
+    grouped = neighbours.Anchors(x[:900].astype(np.float32))
+    a, b = flat.nearest(x, 3), grouped.nearest(x, 3)
+    assert a.shape == b.shape and grouped.groups is not None and len(grouped.groups) == 30
+    # Grouped anchors are in another order: their vectors tell them.
+    same = [len({tuple(v) for v in flat.anchors[p]} & {tuple(v) for v in grouped.anchors[q]}) for p, q in zip(a, b)]
+    assert np.mean(same) >= 0.95 * 3
+    moved = neighbours.centres(x.astype(np.float32), x[rng.permutation(4000)[:300]].astype(np.float32))
+    assert moved.shape == (300, 24) and np.allclose(np.linalg.norm(moved, axis=1), 1, atol=1e-5)
+
+
 def test_left_out_rows_by_join(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "EXCLUDED_BOUND", 3)
     x = clustered(100, 8, 4)

@@ -4,7 +4,7 @@
    rows share is compared once, and its rows are ranked by id when the result is expanded. The other rows of classes are left out by a broadcast list of
    their ids if it is within ``EXCLUDED_BOUND``, else by a join.
 2. ``anchor_factor * sqrt(rows)`` anchors, the centres of a bounded sample drawn by hash from all distinct vectors, are broadcast (a
-   checked size). Each representative joins the blocks of its ``probes`` most similar anchors. Dense regions draw as many anchors
+   checked size). Each representative joins the blocks of its ``probes`` most similar anchors; more than ``FLAT_ANCHORS`` anchors are looked up through groups. Dense regions draw as many anchors
    as they have vectors, so blocks stay of similar size whatever the data.
 3. Within a block, tiles of int8 codes are multiplied. Each code has a known quantisation error, hence each product
    a bound; pairs whose bound cannot reach the threshold or the row's k-th best are dropped, the others are recomputed from
@@ -30,6 +30,10 @@ from vitrail.sources.tables import cut
 ANCHOR_BYTES = 32 << 20
 #: The sample that anchors are fitted to: rows an anchor, bytes at most, rounds.
 SAMPLE_PER_ANCHOR, SAMPLE_BYTES, ANCHOR_ROUNDS = 16, 64 << 20, 3
+#: More anchors than this are reached through their groups, of which a vector looks into so many.
+FLAT_ANCHORS, GROUPS_TRIED = 8192, 16
+#: Bytes of a tile of similarities to anchors.
+TILE_BYTES = 16 << 20
 #: Ids of left-out rows are broadcast up to this number (8 bytes each).
 EXCLUDED_BOUND = 1_000_000
 #: Size of a partition of blocks.
@@ -112,6 +116,63 @@ def plain_vectors(df: DataFrame, id_column: str, vector_column: str, dimension:
     return full.select(group_key(group_columns).alias("g"), F.col(id_column).cast("bigint").alias("row_id"), F.col(vector_column).cast("array<float>").alias("vec"))
 
 
+class Anchors:
+    """Unit vectors by which blocks are chosen; many of them in about the square root of their number of groups, each with its centre."""
+
+    def __init__(self, anchors: np.ndarray):
+        self.anchors, self.groups = anchors, None
+        if len(anchors) > FLAT_ANCHORS:
+            start = np.random.default_rng(2).permutation(len(anchors))[: math.isqrt(len(anchors))]
+            self.groups = centres(anchors, anchors[start])
+            of = _largest(anchors, self.groups, 1)[0][:, 0]
+            self.order = np.argsort(of, kind="stable")
+            self.anchors = anchors[self.order]
+            self.begun = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(self.groups)))])
+
+    def nearest(self, unit: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` most similar anchors of each vector, ascending: of all anchors, or of those in the ``GROUPS_TRIED`` most similar groups."""
+        if len(self.anchors) == 0:
+            return np.zeros((len(unit), 1), np.int32)
+        p = min(probes, len(self.anchors))
+        near = unit.astype(np.float32)
+        out = _largest(near, self.anchors, p)[0] if self.groups is None else self._by_groups(near, p)
+        out.sort(axis=1)
+        return out
+
+    def one_nearest(self, unit: np.ndarray) -> np.ndarray:
+        """The place of the most similar anchor, in the order they were given; there are groups."""
+        return self.order[self._by_groups(unit, 1)[:, 0]]
+
+    def _by_groups(self, near: np.ndarray, p: int) -> np.ndarray:
+        tried, _ = _largest(near, self.groups, min(GROUPS_TRIED, len(self.groups)))
+        best = np.zeros((len(near), p), np.int32)
+        value = np.full((len(near), p), -2.0, np.float32)
+        order = np.argsort(tried.ravel(), kind="stable")
+        rows, group = order // tried.shape[1], tried.ravel()[order]
+        edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+        for a, b in zip(edges[:-1], edges[1:]):
+            low, high = self.begun[group[a]], self.begun[group[a] + 1]
+            if low == high:
+                continue
+            mine = rows[a:b]
+            at, sims = _largest(near[mine], self.anchors[low:high], min(p, high - low))
+            both, ids = np.concatenate([value[mine], sims], axis=1), np.concatenate([best[mine], at + low], axis=1)
+            top = np.argpartition(both, both.shape[1] - p, axis=1)[:, both.shape[1] - p :]
+            value[mine], best[mine] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
+        return best
+
+
+def _largest(near: np.ndarray, anchors: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places and products of the ``p`` anchors of largest product with each row, in tiles of ``TILE_BYTES``."""
+    out, value = np.empty((len(near), p), np.int32), np.empty((len(near), p), np.float32)
+    step = max(16, min(2048, TILE_BYTES // (4 * len(anchors))))
+    for s in range(0, len(near), step):
+        sims = near[s : s + step] @ anchors.T
+        top = np.argpartition(sims, len(anchors) - p, axis=1)[:, len(anchors) - p :]
+        out[s : s + step], value[s : s + step] = top, np.take_along_axis(sims, top, 1)
+    return out, value
+
+
 def draw_anchors(df: DataFrame, vector_column: str, dimension: int, factor: float, rows: int) -> np.ndarray:
     """About factor * sqrt(rows) unit vectors, within ``ANCHOR_BYTES``: centres of a sample of the distinct usable vectors."""
     if rows < ONE_BLOCK:
@@ -120,8 +181,8 @@ def draw_anchors(df: DataFrame, vector_column: str, dimension: int, factor: floa
     sample = max(wanted, min(SAMPLE_PER_ANCHOR * wanted, rows, SAMPLE_BYTES // (4 * dimension)))
     share = int(min(1.0, sample / rows) * (1 << 31))
     h = F.xxhash64(F.lit("anchor"), F.col(vector_column))
-    drawn = df.where(usable(vector_column, dimension) & (F.pmod(h, F.lit(1 << 31)) < share)).select(F.col(vector_column).cast("array<float>").alias("v")).distinct()
-    _, x = vector_array(drawn.limit(2 * sample + 64).toArrow().column("v"), dimension)
+    drawn = df.where(usable(vector_column, dimension) & (F.pmod(h, F.lit(1 << 31)) < share)).select(F.col(vector_column).cast("array<float>").alias("v"), h.alias("h")).distinct()
+    _, x = vector_array(drawn.orderBy("h").limit(2 * sample + 64).select("v").toArrow().column("v"), dimension)
     if not len(x):
         return np.zeros((0, dimension), np.float32)
     unit = normalised(x[np.lexsort(x.T)]).astype(np.float32)
@@ -132,7 +193,7 @@ def draw_anchors(df: DataFrame, vector_column: str, dimension: int, factor: floa
 def centres(unit: np.ndarray, anchors: np.ndarray, rounds: int = ANCHOR_ROUNDS) -> np.ndarray:
     """Anchors moved to the mean direction of the vectors that are nearest to them, a few times; those without any stay."""
     for _ in range(rounds):
-        nearest = np.concatenate([(unit[s : s + 4096] @ anchors.T).argmax(1) for s in range(0, len(unit), 4096)])
+        nearest = Anchors(anchors).one_nearest(unit) if len(anchors) > FLAT_ANCHORS else _largest(unit, anchors, 1)[0][:, 0]
         order = np.argsort(nearest, kind="stable")
         begun = np.flatnonzero(np.diff(nearest[order], prepend=-1))
         total = np.add.reduceat(unit[order].astype(np.float64), begun, axis=0)
@@ -233,19 +294,6 @@ def _first_k(top: np.ndarray, keep: np.ndarray, common: np.ndarray, rows: np.nda
     return rows[a], top[a, b] + j
 
 
-def assign_cells(unit: np.ndarray, anchors: np.ndarray, probes: int) -> np.ndarray:
-    """The ``probes`` most similar anchors of each vector, ascending; one common cell if there are no anchors."""
-    if len(anchors) == 0:
-        return np.zeros((len(unit), 1), np.int32)
-    p = min(probes, len(anchors))
-    out = np.empty((len(unit), p), np.int32)
-    for s in range(0, len(unit), 2048):
-        sims = unit[s : s + 2048].astype(np.float32) @ anchors.T
-        out[s : s + 2048] = np.argpartition(sims, len(anchors) - p, axis=1)[:, len(anchors) - p :]
-    out.sort(axis=1)
-    return out
-
-
 def pack(x: np.ndarray) -> np.ndarray:
     """Floats as bytes with equal places of all floats of a row together, which compresses better in a shuffle."""
     n, d = x.shape
@@ -340,7 +388,7 @@ def most_similar(
     groups = group_columns or []
     source = df.select(F.col(id_column), F.col(vector_column), *[F.col(c) for c in dict.fromkeys(groups) if c not in (id_column, vector_column)])
     rows = source.count()
-    anchors = draw_anchors(source, vector_column, dimension, anchor_factor, rows)
+    anchors = Anchors(draw_anchors(source, vector_column, dimension, anchor_factor, rows))
     shared = df.sparkSession.sparkContext.broadcast(anchors)
     copies = copies_of(light_rows(source, id_column, vector_column, dimension, groups))
     vectors, excluded = leave_out(plain_vectors(source, id_column, vector_column, dimension, groups), copies.where("row_id <> rep"))
@@ -348,7 +396,7 @@ def most_similar(
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, x in wanted_vectors(batches, dimension, sent.value):
-            yield explode_cells(keys, x, assign_cells(normalised(x), shared.value, probes))
+            yield explode_cells(keys, x, shared.value.nearest(normalised(x), probes))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cell, ids, cells, x in sorted_blocks(batches, dimension):
