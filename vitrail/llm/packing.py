@@ -1,13 +1,13 @@
 """Filling containers of fixed capacity with items of varying size.
 
-Items are spread over shards by a hash of their id, ``SHARD_ITEMS`` each, and every shard is packed in one task by best fit over items of
-falling size. The open containers are ordered by what room they have left, as a bitmap of the residuals that occur; the search starts at the
-smallest residual that holds the item and goes on to its successors until it finds the tightest compatible container. Only then a new one is opened.
+Items are spread over shards by a hash of their id, ``SHARD_ITEMS`` each, and every shard is packed in one task by conflict-constrained best fit over items of
+falling size. The open containers are ordered by what room they have left, as a bitmap of the residuals that occur, and carry a bitmap of the sources and one of the
+classes of copies that they are closed to. The search starts at the smallest residual that holds the item and goes on to its successors until it finds the tightest
+container that is closed to neither. Only then a new one is opened.
 
-Compatible means: copies of one text are kept apart, also those of other sizes, for every class remembers the containers it is in. A class of copies may come into a container ``allowance`` times, the least with which the
-class needs no more containers than the whole shard does; that is once, unless a class is very frequent. With a ``slack``, the
-allowance is raised where keeping copies apart would open more containers than that share beyond the fewest that can hold the shard. Among equally tight containers
-one without the item's source is taken, by a bitmap of the sources it holds.
+A container is closed to a class of copies when it holds its share of them, the least with which the class needs no more containers than the whole shard does; that is
+one copy, unless a class is very frequent. With a ``slack``, copies open no more containers than that share beyond the fewest
+that can hold the shard. It is closed to a source one item after its share, as long as that opens no container beyond the fewest.
 
 Only an item larger than the capacity is cut: into full containers and a rest, which is packed like an item. A shard
 wastes at most a part of its last container, so the loss against packing all in one task is under one container a shard.
@@ -29,82 +29,90 @@ TEXT_SLACK = 0.005
 SCHEMA = "budget_id int, container_id string, item_id bigint, piece int, first_token bigint, n_tokens int"
 
 
-def best_fit(sizes: list[int], copies: list[int], sources: list[int], capacity: int, slack: float | None = None) -> list[int]:
-    """The container of each item. ``copies`` and ``sources`` are class and source numbers; items come by falling size, copies of one size together."""
-    total = sum(sizes)
-    fewest = max(1, -(-total // capacity))
-    enough = float("inf") if slack is None else fewest + max(1, int(slack * fewest))
-    count: dict[int, int] = {}
-    for c in copies:
-        count[c] = count.get(c, 0) + 1
-    room: list[int] = []
-    held: list[int] = []  # bitmap of the sources in each container
-    buckets: dict[int, dict[int, dict[int, None]]] = {}  # residual: bitmap of sources: containers, the last put first
-    residuals = 0  # bit r is set if a container has room r
-    aside: list[int] = []
-    filled: dict[int, dict[int, int]] = {}  # class: containers and how many of its copies each holds
-    allowed: dict[int, int] = {}
-    used: dict[int, int] = {}
-    current, allowance = None, 1
-    out = []
+class _Open:
+    """The open containers by what room they have left, and of equal room by what they are closed to: bitmaps of sources and of classes of copies."""
 
-    def put(b: int) -> None:
-        nonlocal residuals
-        r = room[b]
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.room: list[int] = []
+        self.closed: list[tuple[int, int]] = []
+        self.buckets: dict[int, dict[tuple[int, int], dict[int, None]]] = {}  # room: bitmaps: containers, the last put first
+        self.residuals = 0  # bit r is set if a container has room r
+
+    def put(self, b: int) -> None:
+        r = self.room[b]
         if r:
-            buckets.setdefault(r, {}).setdefault(held[b], {})[b] = None
-            residuals |= 1 << r
+            self.buckets.setdefault(r, {}).setdefault(self.closed[b], {})[b] = None
+            self.residuals |= 1 << r
 
-    def take(r: int, mask: int, b: int | None = None) -> int:
-        nonlocal residuals
-        same = buckets[r][mask]
-        if b is None:
-            b, _ = same.popitem()
-        else:
-            del same[b]
+    def take(self, r: int, closed: tuple[int, int]) -> int:
+        same = self.buckets[r][closed]
+        b, _ = same.popitem()
         if not same:
-            del buckets[r][mask]
-            if not buckets[r]:
-                del buckets[r]
-                residuals ^= 1 << r
+            del self.buckets[r][closed]
+            if not self.buckets[r]:
+                del self.buckets[r]
+                self.residuals ^= 1 << r
         return b
 
+    def tightest(self, size: int, source: int, copy: int) -> int | None:
+        """The container of least room for ``size`` that is closed to none of the bits ``source`` and ``copy``, taken out: from the smallest residual on to its successors."""
+        above = self.residuals >> size
+        r = size
+        while above:
+            step = (above & -above).bit_length() - 1
+            r += step
+            for closed in self.buckets[r]:
+                if not closed[0] & source and not closed[1] & copy:
+                    return self.take(r, closed)
+            above >>= step + 1
+            r += 1
+        return None
+
+    def new(self) -> int:
+        self.room.append(self.capacity)
+        self.closed.append((0, 0))
+        return len(self.room) - 1
+
+
+def best_fit(sizes: list[int], copies: list[int], sources: list[int], capacity: int, slack: float | None = None) -> list[int]:
+    """The container of each item. ``copies`` and ``sources`` are class and source numbers; items come by falling size."""
+    fewest = max(1, -(-sum(sizes) // capacity))
+    enough = float("inf") if slack is None else fewest + max(1, int(slack * fewest))
+    count: dict[tuple[str, int], int] = {}
+    for kind, names in (("copy", copies), ("source", sources)):
+        for x in names:
+            count[kind, x] = count.get((kind, x), 0) + 1
+    # A class of one is in no conflict and has no bit. A source may come once more than its share, for its items differ in size.
+    bits = {x: 1 << k for k, x in enumerate(x for (kind, x), n in count.items() if kind == "copy" and n > 1)}
+    allowed = {c: -(-count["copy", c] // fewest) for c in bits}
+    allowed_source = {s: -(-n // fewest) + 1 for (kind, s), n in count.items() if kind == "source"}
+    held: dict[tuple[str, int, int], int] = {}
+    of_class: dict[int, list[int]] = {}  # the containers closed to a class
+    open_ones = _Open(capacity)
+    out = []
     for size, copy, source in zip(sizes, copies, sources):
-        if copy != current:
-            for b in aside:
-                put(b)
-            current, used = copy, filled.setdefault(copy, {})
-            allowance = allowed.setdefault(copy, -(-count[copy] // fewest))
-            aside = [b for b, n in used.items() if n >= allowance and room[b]]
-            for b in aside:
-                take(room[b], held[b], b)
-        bit = 1 << source
-        above = residuals >> size
-        if not above and len(room) >= enough and any(room[b] >= size for b in aside):
-            allowance = allowed[copy] = allowance + 1
-            for b in aside:
-                put(b)
-            aside = []
-            above = residuals >> size
-        if above:
-            r = size + (above & -above).bit_length() - 1
-            bucket = buckets[r]
-            mask = next((m for m in bucket if not m & bit), None)
-            if mask is None:
-                mask = next(iter(bucket))
-            b = take(r, mask)
-        else:
-            b = len(room)
-            room.append(capacity)
-            held.append(0)
-        room[b] -= size
-        held[b] |= bit
+        source_bit, copy_bit = 1 << source, bits.get(copy, 0)
+        b = open_ones.tightest(size, source_bit, copy_bit)
+        if b is None and len(open_ones.room) >= fewest:
+            b = open_ones.tightest(size, 0, copy_bit)  # a source opens no container beyond the fewest
+        if b is None and len(open_ones.room) >= enough and any(open_ones.room[x] >= size for x in of_class.get(copy, ())):
+            b = open_ones.tightest(size, 0, 0)
+        if b is None:
+            b = open_ones.new()
+        open_ones.room[b] -= size
+        held["source", source, b] = held.get(("source", source, b), 0) + 1
+        by_source, by_copy = open_ones.closed[b]
+        if held["source", source, b] >= allowed_source[source]:
+            by_source |= source_bit
+        if copy_bit:
+            held["copy", copy, b] = held.get(("copy", copy, b), 0) + 1
+            if held["copy", copy, b] >= allowed[copy]:
+                by_copy |= copy_bit
+                of_class.setdefault(copy, []).append(b)
+        open_ones.closed[b] = (by_source, by_copy)
+        open_ones.put(b)
         out.append(b)
-        used[b] = used.get(b, 0) + 1
-        if used[b] >= allowance:
-            aside.append(b)  # closed to further copies of this class
-        else:
-            put(b)
     return out
 
 
