@@ -221,10 +221,26 @@ def encode_png(picture: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def decode_pixels(content: bytes) -> np.ndarray:
+    """The upright picture of a content of ``sources.pictures``: blue, green and red (and alpha) or gray bytes after a line that tells their number."""
+    end = content.index(b"\n")
+    height, width, channels, orientation = map(int, content[:end].split()[1:])
+    p = np.frombuffer(content, np.uint8, height * width * channels, end + 1).reshape(height, width, channels)
+    p = np.repeat(p, 3, axis=2) if channels == 1 else np.concatenate([p[..., 2::-1], p[..., 3:]], axis=2)
+    return orient(p, orientation)
+
+
+def decode(content: bytes) -> np.ndarray:
+    """A picture decoded by the JVM, or a PNG."""
+    if not content:
+        raise ValueError("unsupported or truncated image")
+    return decode_pixels(content) if content.startswith(b"PIXELS ") else decode_png(content)
+
+
 INSPECTED = "path string, width int, height int, dominant struct<r:int,g:int,b:int>, visual_hash bigint, color_histogram array<float>, material_texture array<float>, content_fingerprint bigint, error string"
 
 
-def inspect(files: DataFrame, decode: Callable[[bytes], np.ndarray] = decode_png) -> DataFrame:
+def inspect(files: DataFrame, decode: Callable[[bytes], np.ndarray] = decode) -> DataFrame:
     """(path, width, height, descriptors..., error) of files (path, content). A file that can't be decoded has only its path and error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,8 +253,11 @@ def inspect(files: DataFrame, decode: Callable[[bytes], np.ndarray] = decode_png
                     rows.append((path, p.shape[1], p.shape[0], {"r": r, "g": g, "b": b}, difference_hash(p), color_histogram(p), texture(p), content_fingerprint(p), None))
                 except Exception as x:  # noqa: BLE001 - one bad file mustn't end the others
                     rows.append((path, None, None, None, None, None, None, None, str(x) or type(x).__name__))
-            out = pd.DataFrame(rows, columns=["path", "width", "height", "dominant", "visual_hash", "color_histogram", "material_texture", "content_fingerprint", "error"])
-            yield out.astype({"width": "Int32", "height": "Int32", "visual_hash": "Int64", "content_fingerprint": "Int64"})
+            columns = list(zip(*rows)) or [[]] * 9
+            names = ["path", "width", "height", "dominant", "visual_hash", "color_histogram", "material_texture", "content_fingerprint", "error"]
+            whole = {"width": "Int32", "height": "Int32", "visual_hash": "Int64", "content_fingerprint": "Int64"}
+            # Each column by its own type: numbers of 64 bits beside nulls would become floats.
+            yield pd.DataFrame({n: pd.array(list(c), whole[n]) if n in whole else pd.Series(list(c), dtype=object) for n, c in zip(names, columns)})
 
     return files.select("path", "content").mapInPandas(run, INSPECTED)
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrail.functions import score, text, vector
 from vitrail.functions.score import SimilaritySettings
-from vitrail.sources.tables import cut
 
+#: Buckets of the histogram of a component's scores.
+BUCKETS = 4096
 # Results at most, candidates of a component at most, rows from which candidates are chosen first.
 MAX_RESULTS, MAX_COMPONENT_CANDIDATES, PIPELINE_MIN_ROWS = 2000, 3000, 4000
 
@@ -57,8 +60,8 @@ def eligible(metrics: DataFrame) -> DataFrame:
 def candidates(metrics: DataFrame, settings: SimilaritySettings, n: int, id_column: str, most_results: int = MAX_RESULTS, most_candidates: int = MAX_COMPONENT_CANDIDATES, min_rows: int = PIPELINE_MIN_ROWS) -> DataFrame:
     """The rows worth an exact score: the best of each weighing component and the exact row.
 
-    Few rows, no weighing component or too few candidates mean all eligible rows. Ties of a component are broken by id. No component
-    sorts the whole table in one task.
+    Few rows, no weighing component or too few candidates mean all eligible rows. Ties of a component are broken by id. A histogram of each component's scores tells in which bucket
+    its bests end; only that bucket is sorted, for the last score and id that belong to them. The candidates are then a filter on the metrics, without a join.
     """
     all_rows = eligible(metrics)
     if n <= min_rows:
@@ -68,16 +71,38 @@ def candidates(metrics: DataFrame, settings: SimilaritySettings, n: int, id_colu
     weighing = [name for name, weight in weights.items() if weight > 0]
     if not weighing:
         return all_rows
-    # Scores and ids only, computed once; the bests of all components come from one pass that keeps ``limit`` rows a partition.
-    slim = cut(all_rows.select(id_column, "is_exact", *weighing))
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("component"), F.col(name).alias("score")) for name in weighing])).alias("s")
-    long = slim.where(~F.col("is_exact")).select(id_column, each).select(id_column, "s.component", "s.score").where(F.col("score").isNotNull())
-    order = Window.partitionBy("component").orderBy(F.col("score").desc(), id_column)
-    best = long.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).select(id_column)
-    chosen = cut(best.unionByName(slim.where("is_exact").select(id_column)).distinct())
-    if chosen.count() < min(most_results, slim.count()):
-        return all_rows
-    return all_rows.join(chosen, id_column, "left_semi")
+    others = all_rows.where(~F.col("is_exact"))
+    bucket = lambda name: F.least(F.greatest(F.floor(F.col(name) * BUCKETS), F.lit(0)), F.lit(BUCKETS)).cast("int")
+    pairs = lambda df, *more: df.select(*more, F.explode(F.array(*[F.struct(F.lit(name).alias("component"), bucket(name).alias("bucket"), F.col(name).alias("score")) for name in weighing])).alias("s")).where("s.score is not null")
+    counted = pairs(others).groupBy("s.component", "s.bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS + 1 rows a component
+    # The bucket in which each component reaches the limit, and how many of its rows still fit.
+    edge: dict[str, tuple[int, int]] = {}
+    for name in weighing:
+        left = limit
+        for b, n in sorted(((r["bucket"], r["n"]) for r in counted if r["component"] == name), reverse=True):
+            if n >= left:
+                edge[name] = (b, left)
+                break
+            left -= n
+    last = {}
+    if edge:
+        at_edge = reduce(lambda x, y: x | y, [(F.col("s.component") == name) & (F.col("s.bucket") == b) for name, (b, _) in edge.items()])
+        order = Window.partitionBy("component").orderBy(F.col("score").desc(), id_column)
+        most = max(n for _, n in edge.values())
+        ranked_edge = pairs(others, id_column).where(at_edge).select(id_column, "s.component", "s.score").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+        wanted = reduce(lambda x, y: x | y, [(F.col("component") == name) & (F.col("_n") == n) for name, (_, n) in edge.items()])
+        last = {r["component"]: (r["score"], r[id_column]) for r in ranked_edge.where(wanted).collect()}  # a row a component
+
+    def among_best(name: str) -> Column:
+        c = F.col(name)
+        if name not in last:
+            return F.coalesce(c.isNotNull(), F.lit(False))
+        least, id_ = last[name]
+        return F.coalesce((c > least) | ((c == least) & (F.col(id_column) <= F.lit(id_))), F.lit(False))
+
+    chosen = F.col("is_exact") | reduce(lambda x, y: x | y, [among_best(name) for name in weighing])
+    n_all, n_chosen = all_rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(chosen.cast("int")), F.lit(0))).first()
+    return all_rows if n_chosen < min(most_results, n_all) else all_rows.where(chosen)
 
 
 def ranked(metrics: DataFrame, settings: SimilaritySettings, limit: int = MAX_RESULTS) -> DataFrame:

@@ -18,7 +18,7 @@ from vitrail.operators import catalog, faces, features, verify
 from vitrail.sources.tables import cut
 
 
-def rescan(images: DataFrame, discovered: DataFrame, listing: DataFrame, files: DataFrame, clean_roots: list[str], force: bool = False, decode: Callable = features.decode_png) -> tuple[DataFrame, DataFrame, DataFrame]:
+def rescan(images: DataFrame, discovered: DataFrame, listing: DataFrame, files: DataFrame, clean_roots: list[str], force: bool = False, decode: Callable = features.decode) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, discovered, outcomes) after a scan.
 
     ``listing`` has root, path, size, modified of what was found; ``files`` path and content. New and changed files are decoded and merged, found paths get
@@ -42,7 +42,7 @@ def rescan(images: DataFrame, discovered: DataFrame, listing: DataFrame, files:
     return merged, seen, outcomes
 
 
-def backfill_descriptors(images: DataFrame, files: DataFrame, decode: Callable = features.decode_png) -> tuple[DataFrame, DataFrame]:
+def backfill_descriptors(images: DataFrame, files: DataFrame, decode: Callable = features.decode) -> tuple[DataFrame, DataFrame]:
     """(images, outcomes): missing or outdated descriptors computed; files that fail stay as they were and are tried again next time."""
     todo = catalog.needs_descriptor(images).select("path").distinct()
     got = cut(features.inspect(files.join(todo, "path", "left_semi"), decode))
@@ -76,7 +76,7 @@ def detect_faces(scope: DataFrame, images: DataFrame, state: DataFrame, stored:
     return new_state, new_faces, tried.unionByName(stale)
 
 
-def embed_faces(stored: DataFrame, embeddings: DataFrame, files: DataFrame, make_model: Callable, r: faces.EmbeddingRevision, decode: Callable = features.decode_png) -> tuple[DataFrame, DataFrame]:
+def embed_faces(stored: DataFrame, embeddings: DataFrame, files: DataFrame, make_model: Callable, r: faces.EmbeddingRevision, decode: Callable = features.decode) -> tuple[DataFrame, DataFrame]:
     """(embeddings, outcomes): vectors of faces that have none of the revision, from the aligned face, or a crop without five landmarks.
 
     A model takes a list of 112 x 112 (or cropped) pictures and returns as many vectors.
@@ -127,7 +127,7 @@ def attach_library(images: DataFrame, roots: DataFrame, registry: DataFrame, rul
     return {"images": catalog.import_root(images, portable, root), "roots": catalog.add_root(roots, root), "registry": catalog.register_library(registry, library_id, root), **rules}
 
 
-def previews(files: DataFrame, most: int = 512, decode: Callable = features.decode_png) -> DataFrame:
+def previews(files: DataFrame, most: int = 512, decode: Callable = features.decode) -> DataFrame:
     """(key, path, content, error): previews of files (path, content, size, modified, modified_nanos) as PNG of at most ``most`` pixels."""
     from vitrail.functions import hashing
 
