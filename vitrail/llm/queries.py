@@ -47,6 +47,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return named.join(other, "cluster").where(F.col("face_a") < F.col("face_b")).select("face_a", "face_b")
 
 
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """The cluster of every face, named by its smallest face_id; unlike p3_found it grows with the faces only, however large a cluster is."""
+    names = _face_names(spark, d)
+    found, _ = mixture.clusters(read_table(spark, d, "face_embeddings"), "row_id", "embedding", 128, 0.70, REVISION, names)
+    named = found.join(names, "row_id").select("cluster", F.col("name").alias("face_id")).distinct()
+    return named.join(named.groupBy("cluster").agg(F.min("face_id").alias("cluster_name")), "cluster").select("face_id", F.col("cluster_name").alias("cluster"))
+
+
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Size and most typical faces of every cluster."""
     names = _face_names(spark, d)
@@ -79,7 +87,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.find_spam(read_spread(spark, d, "documents"), read_table(spark, d, "page_labels")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_combined": p2_combined, "p3_found": p3_found, "p3_clusters": p3_clusters, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_unused": p7_unused, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_combined": p2_combined, "p3_found": p3_found, "p3_members": p3_members, "p3_clusters": p3_clusters, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_unused": p7_unused, "p8_found": p8_found}
 
 _VALUES = """
 WITH v AS (
@@ -88,7 +96,19 @@ WITH v AS (
 p AS (SELECT unnest([10, 50, 90, 99])::INTEGER AS pct),
 """
 
+_LINKS = """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT ON (e.row_id) e.row_id, e.face_id, e.embedding::DOUBLE[] AS v, hash(model_id, model_version, model_cache_revision, alignment_revision) AS g
+  FROM face_embeddings e WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0
+  AND face_id IN (SELECT face_id FROM faces)),
+u AS (SELECT row_id, face_id, g, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+l AS (SELECT a.face_id AS a, b.face_id AS b FROM u a JOIN u b ON a.g = b.g WHERE round(list_dot_product(a.v, b.v), 10) >= 0.70),
+r AS (SELECT DISTINCT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+"""
+
 ORACLE = {
+    "p3_found": _LINKS + "SELECT a AS face_a, b AS face_b FROM r WHERE a < b",
+    "p3_members": _LINKS + "SELECT a AS face_id, min(b) AS cluster FROM r GROUP BY a",
     "p2_found": _VALUES
     + """
 r AS (SELECT root, field, value, row_number() OVER (PARTITION BY root, field ORDER BY value) - 1 AS k,
