@@ -72,6 +72,11 @@ def test_roots_and_libraries(spark, images):
     roots = spark.createDataFrame([("E:\\a",), ("E:\\ab",), ("E:\\a\\sub",), ("Z",)], "path string")
     assert catalog.add_root(roots, "E:\\a").count() == 4 and catalog.add_root(roots, "Y").count() == 5
     owned = {r.path: r.root for r in catalog.owning_root(images.select("path"), roots).collect()}
+    few, catalog.FEW_ROOTS = catalog.FEW_ROOTS, 0
+    try:
+        assert owned == {r.path: r.root for r in catalog.owning_root(images.select("path"), roots).collect()}
+    finally:
+        catalog.FEW_ROOTS = few
     assert owned == {"E:\\a\\1.png": "E:\\a", "E:\\a\\sub\\2.png": "E:\\a\\sub", "E:\\ab\\3.png": "E:\\ab"}
     counts = {r.path: (r.indexed, r.discovered) for r in catalog.root_counts(roots, images, images.limit(0).select("path", "root")).collect()}
     assert counts["E:\\a"] == (2, 2) and counts["Z"] == (0, 0)

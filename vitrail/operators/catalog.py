@@ -177,12 +177,23 @@ def union_libraries(libraries: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("library_id", F.lit(name)) for name, df in libraries.items()])
 
 
+#: So many roots at most are matched as constants of the plan.
+FEW_ROOTS = 200
+
+
 def owning_root(paths: DataFrame, roots: DataFrame, column: str = "path") -> DataFrame:
     """``paths`` with ``root``, the longest root that is the path or a folder above it, null if there is none.
 
-    Each path is matched through its own folders, an equi-join; a root matches whole components only.
+    Up to ``FEW_ROOTS`` roots are compared with each path, the longest first, without a shuffle; of more each path is matched through its own folders, an
+    equi-join. A root matches whole components only.
     """
-    r = roots.select(F.regexp_replace("path", r"[\\/]+$", "").alias("_folder"), F.col("path").alias("_root")).distinct()
+    r = roots.where(F.col("path").isNotNull()).select(F.regexp_replace("path", r"[\\/]+$", "").alias("_folder"), F.col("path").alias("_root")).distinct()
+    few = r.limit(FEW_ROOTS + 1).collect()
+    if len(few) <= FEW_ROOTS:
+        p = F.col(column)
+        below = lambda folder: (p != "") & ((p == folder) | F.startswith(p, F.lit(folder + "/")) | F.startswith(p, F.lit(folder + "\\")))
+        longest = sorted(few, key=lambda x: (-len(x["_folder"]), x["_root"]))
+        return paths.drop("root").withColumn("root", F.coalesce(*[F.when(below(x["_folder"]), F.lit(x["_root"])) for x in longest], F.lit(None).cast("string")))
     above = paths.select(column).distinct().withColumn("_folder", F.explode(text.folders_above(F.col(column))))
     best = above.join(r, "_folder").groupBy(column).agg(F.max_by("_root", F.length("_folder")).alias("root"))
     return paths.drop("root").join(best, column, "left")
