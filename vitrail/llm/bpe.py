@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+DEFAULT_VOCABULARY = os.path.join(os.environ.get("VITRAIL_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 #: Fixed value: the pre-token pattern that belongs to the public byte-level vocabularies.
 DEFAULT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO_ENTRIES = 400_000
