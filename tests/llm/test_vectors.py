@@ -1,9 +1,11 @@
 """Nearest vectors, percentiles and clusters, against brute force."""
 
 import itertools
+import pickle
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +241,66 @@ def test_links_across_components_are_found(spark, monkeypatch, bounds):
     assert all(min(g) == c for c, g in groups.items()) and len(model.means) > 1
 
 
+def test_vectors_are_read_once_however_many_chunks(spark, monkeypatch):
+    """With places joined, more chunks of balls mean more passes over the codes only."""
+    x = clustered(500, 16, 10, 0.35)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = table(spark, x)
+    df = df.mapInArrow(counted, df.schema)
+    monkeypatch.setattr(neighbours, "EXCLUDED_BOUND", 3)
+    want, reads = linked(x, range(1, 501), 0.75, ["k"] * 500), []
+    for chunk_bytes in (20_000, 4_000):
+        monkeypatch.setattr(border, "CHUNK_BYTES", chunk_bytes)
+        before, groups = read.value, {}
+        for r in mixture.clusters(df, "row_id", "embedding", 16, 0.75, probes=1)[0].collect():
+            groups.setdefault(r.cluster, set()).add(r.row_id)
+        assert {frozenset(g) for g in groups.values()} == want
+        reads.append(read.value - before)
+    assert reads[1] <= reads[0]
+
+
+def test_balls_of_whole_clusters():
+    """Vectors of a cluster that came together in several blocks are one ball; what lies apart keeps its name."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(3, 32))
+    centre /= np.sqrt((centre * centre).sum(1, keepdims=True))
+    unit = neighbours.normalised(np.concatenate([centre[0] + 0.05 * rng.normal(size=(6, 32)), centre[1:2], centre[2:]]).astype(np.float32))
+    ids, label, ball = np.arange(10, 18), np.array([-5] * 7 + [9]), np.array([1, 1, 1, 2, 2, 2, 16, 17])
+    ball, size = border.gathered(unit, ids, label, ball)
+    assert ball.tolist() == [10] * 6 + [16, 17] and size.tolist() == [6] * 6 + [1, 1]
+
+
+@pytest.mark.parametrize("wide", [0.85, 0.5])
+def test_balls_lose_no_link(wide, monkeypatch):
+    """All pairs of clusters that a link joins come out of the search among balls of any radius, from codes; what is certain is a link."""
+    monkeypatch.setattr(border, "WHOLE_COSINE", wide)
+    unit = neighbours.normalised(np.array(clustered(700, 24, 12, 0.3), np.float32))
+    ids = np.arange(700) * 3
+    root = ids - ids % 12  # clusters of four rows, of which many lie apart
+    label = border.mixed(root)
+    order = np.lexsort((ids, label))
+    unit, ids, root, label = unit[order], ids[order], root[order], label[order]
+    ball, size = border.gathered(unit, ids, label, ids)
+    code, scale, error = neighbours.quantise(unit)
+    columns = {"g": np.zeros(700, np.int64), "row_id": ids, "size": size, "ball": ball, "root": root, "scale": scale, "error": error, "code": [c.tobytes() for c in code]}
+    leaders = pickle.loads(pickle.dumps(border.Leaders(pa.table(columns), 24, 0.75, np.eye(24))))
+    found = list(leaders.candidates(0, ids, border.rank_key(size, ball), root, code * scale[:, None], float(error.max())))
+    a, b, root_a, root_b, certain = (np.concatenate(c) for c in zip(*found))
+    place = np.empty(2100, np.int64)
+    place[ids] = np.arange(700)
+    sims = np.einsum("ij,ij->i", unit[place[a]], unit[place[b]])
+    assert (sims[certain] >= 0.75).all() and certain.any()
+    p, q = np.nonzero((unit @ unit.T >= 0.75) & (root[:, None] < root[None, :]))
+    pairs = lambda x, y: set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+    assert pairs(root[p], root[q]) <= pairs(root_a, root_b)
+
+
 def test_information_criterion_and_fit():
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(c, 0.3, (400, 3)) for c in (-4, 0, 4)]).astype(np.float32)
